@@ -18,4 +18,4 @@ def all_sql():
 
 
 def _load() -> None:
-    from tidemark.queries import rows  # noqa: F401
+    from tidemark.queries import calls, rows  # noqa: F401

@@ -46,10 +46,11 @@ PARTS = """WITH RECURSIVE succ AS MATERIALIZED (
 pedge AS MATERIALIZED (
   SELECT DISTINCT module, l_partkey AS src, next_part AS dst FROM succ WHERE next_part <> l_partkey),
 func AS MATERIALIZED (
-  SELECT module, fn, p_name AS name, p_brand AS fn_type, p_type, p_size, p_size <= 5 AS is_declaration
+  SELECT module, fn, p_name AS name, p_brand || '/' || p_type || '/' || p_size % 5 AS fn_type,
+         p_brand, p_type, p_size, CAST(p_size % 2 + 2 AS INTEGER) AS n_args, p_size <= 5 AS is_declaration
   FROM (SELECT DISTINCT module, l_partkey AS fn FROM succ) JOIN part ON fn = p_partkey),
 callline AS (
-  SELECT s.*, t.p_brand, t.p_type, t.p_size AS size,
+  SELECT s.*, t.p_brand || '/' || t.p_type || '/' || t.p_size % 5 AS t_fn_type, t.p_type, t.p_size AS size,
          CASE WHEN l_tax < 0.02 AND l_linestatus = 'F' THEN 'signature'
               WHEN l_tax < 0.02 AND l_linestatus = 'O' THEN 'slot'
               WHEN l_returnflag = 'A' AND l_tax >= 0.07 THEN 'alias' ELSE 'direct' END AS how
@@ -59,7 +60,7 @@ call AS MATERIALIZED (
   SELECT module, l_partkey AS fn, inst, how,
          CASE WHEN how = 'direct' THEN next_part END AS callee,
          CASE WHEN how = 'alias' THEN next_part END AS alias_of,
-         CASE WHEN how = 'signature' THEN p_brand END AS fn_type,
+         CASE WHEN how = 'signature' THEN t_fn_type END AS fn_type,
          CASE WHEN how = 'slot' THEN p_type END AS type_id,
          CASE WHEN how = 'slot' THEN 8 * (size % 5) + CASE WHEN size = 50 THEN 4 ELSE 0 END END AS slot_offset
   FROM callline),
@@ -70,7 +71,7 @@ callarg AS MATERIALIZED (
   UNION ALL SELECT module, l_partkey, inst, 2, CASE WHEN l_tax >= 0.07 THEN 3 ELSE 1 END,
                    CASE WHEN l_tax >= 0.07 THEN 2 ELSE -1 END FROM callline),
 vt AS (
-  SELECT module, p_type || '/' || CASE WHEN fn_type < 'Brand#2' THEN 'a' ELSE 'b' END AS vtable,
+  SELECT module, p_type || '/' || CASE WHEN p_brand < 'Brand#2' THEN 'a' ELSE 'b' END AS vtable,
          p_type AS type_id, fn, p_size, is_declaration FROM func),
 vtype AS MATERIALIZED (
   SELECT DISTINCT module, vtable, type_id, type_id <> (SELECT min(p_type) FROM part) AS is_constant FROM vt),

@@ -141,6 +141,10 @@ def _seed_facts():
     return level.alias("level"), ref.alias("ref")
 
 
+def _fn_type():
+    return F.concat_ws("/", "p_brand", "p_type", (F.col("p_size") % 5).cast("string"))
+
+
 class Parts:
     """Facts of ``lineitem``, ``orders``, ``customer`` and ``part``."""
 
@@ -189,12 +193,16 @@ class Parts:
         p = self.part.select(
             F.col("p_partkey").alias("fn"),
             F.col("p_name").alias("name"),
-            F.col("p_brand").alias("fn_type"),
+            _fn_type().alias("fn_type"),
+            "p_brand",
             "p_type",
             "p_size",
+            (F.col("p_size") % 2 + 2).cast("int").alias("n_args"),
             (F.col("p_size") <= 5).alias("is_declaration"),
         )
-        return members.join(p, "fn").select("module", "fn", "name", "fn_type", "p_type", "p_size", "is_declaration")
+        return members.join(p, "fn").select(
+            "module", "fn", "name", "fn_type", "p_brand", "p_type", "p_size", "n_args", "is_declaration"
+        )
 
     @property
     def seeds(self) -> DataFrame:
@@ -213,7 +221,7 @@ class Parts:
     def calls(self) -> DataFrame:
         """Direct, through an alias, by signature or by table slot."""
         tail = self.part.select(
-            F.col("p_partkey").alias("next_part"), "p_brand", "p_type", F.col("p_size").alias("size")
+            F.col("p_partkey").alias("next_part"), _fn_type().alias("t_fn_type"), "p_type", F.col("p_size").alias("size")
         )
         low = F.col("l_tax") < 0.02
         by_type = low & (F.col("l_linestatus") == "F")
@@ -226,7 +234,7 @@ class Parts:
             "inst",
             F.when(~low & ~aliased, F.col("next_part")).alias("callee"),
             F.when(aliased, F.col("next_part")).alias("alias_of"),
-            F.when(by_type, F.col("p_brand")).alias("fn_type"),
+            F.when(by_type, F.col("t_fn_type")).alias("fn_type"),
             F.when(by_slot, F.col("p_type")).alias("type_id"),
             F.when(by_slot, offset).cast("int").alias("slot_offset"),
         )
@@ -264,7 +272,7 @@ class Parts:
 
     @property
     def _vtables(self) -> DataFrame:
-        half = F.when(F.col("fn_type") < "Brand#2", "a").otherwise("b")
+        half = F.when(F.col("p_brand") < "Brand#2", "a").otherwise("b")
         return self.functions.select(
             "module", F.concat_ws("/", "p_type", half).alias("vtable"), F.col("p_type").alias("type_id"),
             "fn", "p_size", "is_declaration",
