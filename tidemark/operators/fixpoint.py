@@ -35,21 +35,24 @@ class _Rounds:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def closure(seed: DataFrame, step: Step, hops: int = 1, subsumed=None) -> DataFrame:
+def closure(seed: DataFrame, step: Step, hops: int = 1, subsumed=None, with_known: bool = False) -> DataFrame:
     """Smallest set of rows that holds ``seed`` and everything ``step`` makes of its rows.
 
     ``hops`` steps are taken per round: more for long thin graphs, one for wide ones.
-    ``subsumed(new, known)`` may drop new rows that add nothing.
+    ``subsumed(new, known)`` may drop new rows that add nothing. A step that joins found rows with
+    each other asks for ``step(delta, known)`` through ``with_known`` and takes one hop per round.
     """
+    if with_known:
+        hops = 1
     cols = seed.columns
     rounds = _Rounds(seed, "closure")
     delta = rounds.add(seed.distinct())
     while not delta.isEmpty():
         front, found = delta, None
+        known = rounds.all()
         for _ in range(hops):
-            front = step(front).select(*cols).distinct()
+            front = (step(front, known) if with_known else step(front)).select(*cols).distinct()
             found = front if found is None else found.union(front)
-        known = rounds.all()
         new = (found.distinct() if hops > 1 else found).join(known, cols, "left_anti")
         if subsumed is not None:
             new = subsumed(new, known)

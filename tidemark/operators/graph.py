@@ -153,14 +153,26 @@ def resolve_condensed(seeds: DataFrame, edges: DataFrame, keys: list[str], hops:
 def levels(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
     """Longest distance to a leaf on the graph of components, (keys, node, comp, level).
 
-    ``src`` calls ``dst``; leaves are level 0, so callees always come before callers.
+    ``src`` calls ``dst``; leaves are level 0, so callees always come before callers. An optional
+    column ``weight`` says how much an edge counts (0 for a hop that is only bookkeeping).
     """
+    if "weight" not in edges.columns:
+        edges = edges.withColumn("weight", F.lit(1))
+    edges = materialise(edges, "level_edges")
     comps = materialise(scc(edges, keys, hops), "comps")
-    dag = materialise(condense(comps, edges, keys), "dag")
-    back = dag.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    move = along(materialise(back, "edges"), keys)
+    side = lambda end: comps.select(*keys, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    up = materialise(
+        edges.join(side("src"), keys + ["src"])
+        .join(side("dst"), keys + ["dst"])
+        .where("src_comp <> dst_comp")
+        .groupBy(*keys, F.col("dst_comp").alias("node"), F.col("src_comp").alias("_next"))
+        .agg(F.max("weight").alias("weight")),
+        "level_dag",
+    )
     seed = comps.select(*keys, F.col("comp").alias("node")).distinct().withColumn("level", F.lit(0))
-    step = lambda delta: move(delta.withColumn("level", F.col("level") + 1))
+    step = lambda delta: delta.join(up, keys + ["node"]).select(
+        *keys, F.col("_next").alias("node"), (F.col("level") + F.col("weight")).cast("int").alias("level")
+    )
     depth = relax(seed, step, keys + ["node"], "level", hops, best=F.max).withColumnRenamed("node", "comp")
     return comps.join(depth, keys + ["comp"]).select(*keys, "node", "comp", "level")
 

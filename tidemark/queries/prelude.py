@@ -10,7 +10,7 @@ ev AS MATERIALIZED (
          lead(block) OVER (PARTITION BY fn ORDER BY ts) AS next_block,
          lag(inst) OVER (PARTITION BY fn, opcode ORDER BY ts) AS operand,
          lead(inst) OVER (PARTITION BY fn, block ORDER BY ts) IS NULL AS is_terminator,
-         opcode IN ('click', 'view') AS is_conditional,
+         opcode IN ('click', 'signup', 'error') AS is_conditional,
          CASE WHEN value >= 10 THEN block END AS line,
          CAST(CASE WHEN opcode = 'error' AND value > 150 THEN 4
                    WHEN opcode = 'signup' THEN 3 ELSE 1 END AS INTEGER) AS level,

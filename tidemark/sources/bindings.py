@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP
 from tidemark.operators.ordered import OrderedRows
+from tidemark.session import materialise
 
 FN = ["module", "fn"]
 BLOCK = ["module", "fn", "block"]
@@ -61,7 +62,7 @@ class Sessions:
             "next_block",
             "operand",
             F.col("_next").isNull().alias("is_terminator"),
-            F.col("opcode").isin("click", "view").alias("is_conditional"),
+            F.col("opcode").isin("click", "signup", "error").alias("is_conditional"),
             F.when(F.col("value") >= 10, F.col("block")).alias("line"),
             level.cast("int").alias("level"),
             F.when(F.col("opcode") == "signup", F.col("block") % 3).cast("int").alias("arg"),
@@ -150,10 +151,10 @@ class Parts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._succ = None
+        self._succ = self._fns = None
 
     @property
-    def lines(self) -> DataFrame:
+    def _lines(self) -> DataFrame:
         li = table(self.spark, self.sf_dir, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
             "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -168,13 +169,18 @@ class Parts:
 
     @property
     def succession(self) -> DataFrame:
-        """Every line with its position in the order and the part that follows."""
+        """Every line with its position in the order and the part that follows, written once."""
         if self._succ is None:
             order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-            rows = OrderedRows(self.lines, ["l_orderkey"], order).row_number("pos").lead("l_partkey", "next_part")
-            self._succ = rows.result().withColumn("inst", F.concat_ws("-", "l_orderkey", "pos"))
+            rows = OrderedRows(self._lines, ["l_orderkey"], order).row_number("pos").lead("l_partkey", "next_part")
+            named = rows.result().withColumn("inst", F.concat_ws("-", "l_orderkey", "pos"))
+            self._succ = materialise(named.drop("l_suppkey", "l_extendedprice", "l_linenumber"), "succession")
         return self._succ
 
+    @property
+    def lines(self) -> DataFrame:
+        return self.succession
+
     @property
     def part(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "part")
@@ -189,6 +195,12 @@ class Parts:
 
     @property
     def functions(self) -> DataFrame:
+        if self._fns is None:
+            self._fns = materialise(self._functions, "functions")
+        return self._fns
+
+    @property
+    def _functions(self) -> DataFrame:
         members = self.lines.select("module", F.col("l_partkey").alias("fn")).distinct()
         p = self.part.select(
             F.col("p_partkey").alias("fn"),
