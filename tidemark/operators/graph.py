@@ -154,19 +154,23 @@ def levels(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
     """Longest distance to a leaf on the graph of components, (keys, node, comp, level).
 
     ``src`` calls ``dst``; leaves are level 0, so callees always come before callers. An optional
-    column ``weight`` says how much an edge counts (0 for a hop that is only bookkeeping).
+    column ``weight`` says how much an edge counts (0 for a hop that is only bookkeeping); an edge that
+    leaves a cycle always counts.
     """
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1))
     edges = materialise(edges, "level_edges")
     comps = materialise(scc(edges, keys, hops), "comps")
     side = lambda end: comps.select(*keys, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    cycles = comps.groupBy(*keys, F.col("comp").alias("src_comp")).count().where("count > 1")
+    cycles = cycles.select(*keys, "src_comp", F.lit(1).alias("_cycle"))
     up = materialise(
         edges.join(side("src"), keys + ["src"])
         .join(side("dst"), keys + ["dst"])
         .where("src_comp <> dst_comp")
+        .join(cycles, keys + ["src_comp"], "left")
         .groupBy(*keys, F.col("dst_comp").alias("node"), F.col("src_comp").alias("_next"))
-        .agg(F.max("weight").alias("weight")),
+        .agg(F.max(F.coalesce("_cycle", "weight")).alias("weight")),
         "level_dag",
     )
     seed = comps.select(*keys, F.col("comp").alias("node")).distinct().withColumn("level", F.lit(0))

@@ -18,4 +18,4 @@ def all_sql():
 
 
 def _load() -> None:
-    from tidemark.queries import calls, graphs, rows  # noqa: F401
+    from tidemark.queries import calls, graphs, rows, variants  # noqa: F401

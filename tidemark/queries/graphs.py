@@ -145,9 +145,8 @@ def g6(spark, sf):
 
 LOOP_SQL = """, bre(module, fn, a, b) AS (SELECT module, fn, src, dst FROM edge
       UNION SELECT r.module, r.fn, r.a, g.dst FROM bre r JOIN edge g ON g.fn = r.fn AND g.src = r.b),
-    bscc AS MATERIALIZED (SELECT x.module, x.fn, x.a AS block, least(x.a, min(x.b)) AS loop FROM bre x
+    bloop AS MATERIALIZED (SELECT x.module, x.fn, x.a AS block, min(x.b) AS loop FROM bre x
       JOIN bre y ON y.fn = x.fn AND y.a = x.b AND y.b = x.a GROUP BY ALL),
-    bloop AS MATERIALIZED (SELECT module, fn, block, min(loop) AS loop FROM bscc GROUP BY ALL),
     tag AS MATERIALIZED (SELECT g.*, s.loop AS sl, d.loop AS dl FROM edge g
       LEFT JOIN bloop s ON s.fn = g.fn AND s.block = g.src LEFT JOIN bloop d ON d.fn = g.fn AND d.block = g.dst),
     head AS MATERIALIZED (SELECT DISTINCT l.module, l.fn, l.block, l.loop FROM bloop l JOIN ends e USING (module, fn)

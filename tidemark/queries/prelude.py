@@ -47,7 +47,7 @@ pedge AS MATERIALIZED (
   SELECT DISTINCT module, l_partkey AS src, next_part AS dst FROM succ WHERE next_part <> l_partkey),
 func AS MATERIALIZED (
   SELECT module, fn, p_name AS name, p_brand || '/' || p_type || '/' || p_size % 5 AS fn_type,
-         p_brand, p_type, p_size, CAST(p_size % 2 + 2 AS INTEGER) AS n_args, p_size <= 5 AS is_declaration
+         p_brand, p_type, p_size, CAST(p_size % 2 + 2 AS INTEGER) AS n_args, p_size % 3 = 0 AS is_vararg, p_size <= 5 AS is_declaration
   FROM (SELECT DISTINCT module, l_partkey AS fn FROM succ) JOIN part ON fn = p_partkey),
 callline AS (
   SELECT s.*, t.p_brand || '/' || t.p_type || '/' || t.p_size % 5 AS t_fn_type, t.p_type, t.p_size AS size,

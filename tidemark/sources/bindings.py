@@ -210,10 +210,11 @@ class Parts:
             "p_type",
             "p_size",
             (F.col("p_size") % 2 + 2).cast("int").alias("n_args"),
+            (F.col("p_size") % 3 == 0).alias("is_vararg"),
             (F.col("p_size") <= 5).alias("is_declaration"),
         )
         return members.join(p, "fn").select(
-            "module", "fn", "name", "fn_type", "p_brand", "p_type", "p_size", "n_args", "is_declaration"
+            "module", "fn", "name", "fn_type", "p_brand", "p_type", "p_size", "n_args", "is_vararg", "is_declaration"
         )
 
     @property
