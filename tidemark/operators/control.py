@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP
-from tidemark.operators.fixpoint import closure, relax
-from tidemark.operators.graph import FN, HOPS
+from tidemark.operators.fixpoint import closure, pace, relax
+from tidemark.operators.graph import FN
 from tidemark.session import materialise
 
 BLOCK = ["module", "fn", "block"]
@@ -129,16 +129,18 @@ def region_stops(starts: DataFrame, blocks: DataFrame, dep_blocks: DataFrame, pd
     )
 
 
-def region_between(stops: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def region_between(stops: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, fn, start, stop, block): blocks from start up to, without, stop."""
-    edges = materialise(edges.select(*FN, F.col("src").alias("block"), F.col("dst").alias("_next")), "edges")
+    edges = materialise(edges.select(*FN, "src", "dst"), "edges")
+    speed = pace(edges, FN)
+    edges = edges.select(*FN, F.col("src").alias("block"), F.col("dst").alias("_next"))
     seed = stops.where("start <> stop").select(*FN, "start", "stop", F.col("start").alias("block"))
 
     def step(delta: DataFrame) -> DataFrame:
         moved = delta.join(edges, BLOCK).where(F.col("_next") != F.col("stop"))
         return moved.select(*FN, "start", "stop", F.col("_next").alias("block"))
 
-    return closure(seed, step, hops)
+    return closure(seed, step, **speed)
 
 
 def region_inputs(regions: DataFrame, instructions: DataFrame, operands: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def region_is_closed(
     return all_.fillna(0).withColumn("is_closed", F.col("n_escaping") + F.col("n_jumps") + F.col("n_entries") == 0)
 
 
-def merge_regions(regions: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def merge_regions(regions: DataFrame, edges: DataFrame) -> DataFrame:
     """Regions that share a block, or continue one into the other, become one, (module, fn, region, block).
 
     Connected parts of the graph of regions and blocks, so popular blocks cost one edge per region;
@@ -216,7 +218,7 @@ def merge_regions(regions: DataFrame, edges: DataFrame, hops: int = HOPS) -> Dat
     )
     seed = links.select(*FN, F.col("a").alias("node"), F.col("r").alias("region"))
     step = lambda d: d.join(both, FN + ["node"]).select(*FN, F.col("_next").alias("node"), "region")
-    named = relax(seed, step, FN + ["node"], "region", hops)
+    named = relax(seed, step, FN + ["node"], "region", hops=4)
     own_named = own.withColumn("node", region_name).join(named, FN + ["node"])
     return own_named.select(*FN, "region", "block").distinct()
 

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, csv
-from tidemark.operators.fixpoint import chase, closure, relax
+from tidemark.operators.fixpoint import chase, closure, pace, relax
 from tidemark.session import materialise
 
 FN = ["module", "fn"]
-HOPS = 3
 
 
 def along(edges: DataFrame, keys: list[str], node: str = "node"):
@@ -27,9 +26,15 @@ def along(edges: DataFrame, keys: list[str], node: str = "node"):
     return step
 
 
-def reachable(starts: DataFrame, edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes reachable from ``starts`` (keys, node), the starts included."""
-    return closure(starts.select(*keys, "node"), along(materialise(edges, "edges"), keys), hops)
+    return spread(starts.select(*keys, "node"), edges, keys)
+
+
+def spread(seed: DataFrame, edges: DataFrame, keys: list[str], subsumed=None) -> DataFrame:
+    """Rows of ``seed`` (keys, node, ...) carried along the edges to every node they reach."""
+    edges = materialise(edges.select(*keys, "src", "dst"), "edges")
+    return closure(seed, along(edges, keys), subsumed=subsumed, **pace(edges, keys))
 
 
 def unreachable_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,10 +50,10 @@ def _below_dep(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(known.where(F.col("level") == DEP).select(*keys), keys, "left_anti")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """G1: facts of every node = its own seeds and the facts of what it depends on (src -> dst)."""
     facts = seeds.select(*keys, "node", "level", "ref")
-    return closure(facts, along(materialise(edges, "edges"), keys), hops, subsumed=_below_dep)
+    return spread(facts, edges, keys, subsumed=_below_dep)
 
 
 def node_labels(nodes: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +69,7 @@ def node_labels(nodes: DataFrame, facts: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def scc(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def scc(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, comp), comp = smallest node of the component; nodes without edges are not listed.
 
     Each pass sends the smallest colour forward and backward at once. A node that meets its own
@@ -87,7 +92,7 @@ def scc(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
         color = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id"))
         start = both.select(*keys, F.col("src").alias("node"), "way").union(both.select(*keys, F.col("dst"), F.col("way")))
         seed = start.distinct().withColumn("color", color)
-        colors = relax(seed, along(both, keys + ["way"]), keys + ["way", "node"], "color", hops)
+        colors = relax(seed, along(both, keys + ["way"]), keys + ["way", "node"], "color", **pace(left, keys))
         pair = materialise(
             colors.groupBy(*keys, "node").agg(
                 F.max(F.when(F.col("way") == 0, F.col("color"))).alias("fw"),
@@ -134,23 +139,23 @@ def condense(comps: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def resolve_condensed(seeds: DataFrame, edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def resolve_condensed(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Labels on the graph of components; members of a cycle share one label.
 
     What is left of a cycle that only depends on itself has no facts and so is independent.
     """
-    comps = materialise(scc(edges, keys, hops), "comps")
+    comps = materialise(scc(edges, keys), "comps")
     comp_seeds = (
         seeds.join(comps, keys + ["node"], "left")
         .select(*keys, F.coalesce("comp", "node").alias("node"), "level", "ref")
         .distinct()
     )
-    facts = propagate(comp_seeds, condense(comps, edges, keys), keys, hops)
+    facts = propagate(comp_seeds, condense(comps, edges, keys), keys)
     members = facts.withColumnRenamed("node", "comp").join(comps, keys + ["comp"], "left")
     return members.select(*keys, F.coalesce("node", "comp").alias("node"), "level", "ref").distinct()
 
 
-def levels(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def levels(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Longest distance to a leaf on the graph of components, (keys, node, comp, level).
 
     ``src`` calls ``dst``; leaves are level 0, so callees always come before callers. An optional
@@ -160,7 +165,7 @@ def levels(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1))
     edges = materialise(edges, "level_edges")
-    comps = materialise(scc(edges, keys, hops), "comps")
+    comps = materialise(scc(edges, keys), "comps")
     side = lambda end: comps.select(*keys, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
     cycles = comps.groupBy(*keys, F.col("comp").alias("src_comp")).count().where("count > 1")
     cycles = cycles.select(*keys, "src_comp", F.lit(1).alias("_cycle"))
@@ -177,17 +182,18 @@ def levels(edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
     step = lambda delta: delta.join(up, keys + ["node"]).select(
         *keys, F.col("_next").alias("node"), (F.col("level") + F.col("weight")).cast("int").alias("level")
     )
-    depth = relax(seed, step, keys + ["node"], "level", hops, best=F.max).withColumnRenamed("node", "comp")
+    flat = up.select(*keys, F.col("node").alias("src"), F.col("_next").alias("dst"))
+    depth = relax(seed, step, keys + ["node"], "level", best=F.max, **pace(flat, keys)).withColumnRenamed("node", "comp")
     return comps.join(depth, keys + ["comp"]).select(*keys, "node", "comp", "level")
 
 
-def loops(blocks: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def loops(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Outermost loop of a block with header, latch and exiting flags and the number of headers.
 
     A loop is a component with more than one block or a self edge, named by its smallest block. A
     loop entered in several places is one loop with several headers.
     """
-    comps = materialise(scc(edges.select(*FN, "src", "dst"), FN, hops), "comps")
+    comps = materialise(scc(edges.select(*FN, "src", "dst"), FN), "comps")
     named = lambda end: comps.select(*FN, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
     tagged = materialise(edges.join(named("src"), FN + ["src"]).join(named("dst"), FN + ["dst"]), "tagged")
     inner = tagged.where("src_comp = dst_comp")
@@ -215,7 +221,7 @@ def loops(blocks: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     )
 
 
-def dominators(roots: DataFrame, edges: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def dominators(roots: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Strict dominators: (keys, node, dom, depth), depth = position of ``dom`` on a path from the root.
 
     Every dominator of a node lies on each path from the root, so the shortest path found by one
@@ -224,7 +230,7 @@ def dominators(roots: DataFrame, edges: DataFrame, keys: list[str], hops: int =
     function: path length times nodes.
     """
     edges = materialise(edges.select(*keys, "src", "dst").where("src <> dst").distinct(), "dom_edges")
-    move = along(edges, keys)
+    move, speed = along(edges, keys), pace(edges, keys)
     # Path to the node, the node excluded; fewest steps win.
     nothing = F.array().cast(f"array<{roots.schema['node'].dataType.simpleString()}>")
     seed = roots.select(*keys, "node", F.struct(F.lit(0).alias("n"), nothing.alias("nodes")).alias("path"))
@@ -234,7 +240,7 @@ def dominators(roots: DataFrame, edges: DataFrame, keys: list[str], hops: int =
             F.struct((F.col("path.n") + 1).alias("n"), F.array_append(F.col("path.nodes"), F.col("node")).alias("nodes")),
         )
     )
-    paths = materialise(relax(seed, step, keys + ["node"], "path", hops), "paths")
+    paths = materialise(relax(seed, step, keys + ["node"], "path", **speed), "paths")
     cand = materialise(
         paths.select(*keys, "node", F.posexplode("path.nodes").alias("depth", "dom")), "candidates"
     )
@@ -244,12 +250,12 @@ def dominators(roots: DataFrame, edges: DataFrame, keys: list[str], hops: int =
     have = cand.select(*keys, F.col("node").alias("src"), "dom")
     fallen = asked.join(have, keys + ["src", "dom"], "left_anti").select(*keys, F.col("dst").alias("node"), "dom")
     wanted = cand.select(*keys, "node", "dom")
-    spread = lambda delta: move(delta).where("node <> dom").join(wanted, keys + ["node", "dom"], "left_semi")
-    gone = closure(fallen, spread, hops)
+    fall = lambda delta: move(delta).where("node <> dom").join(wanted, keys + ["node", "dom"], "left_semi")
+    gone = closure(fallen, fall, **speed)
     return cand.join(gone, keys + ["node", "dom"], "left_anti").select(*keys, "node", "dom", "depth")
 
 
-def post_dominators(blocks: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def post_dominators(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Strict post-dominators (module, fn, block, pdom, depth); several exits join in a virtual one.
 
     The post-dominator with the greatest depth is the nearest.
@@ -259,11 +265,11 @@ def post_dominators(blocks: DataFrame, edges: DataFrame, hops: int = HOPS) -> Da
     virtual = F.lit(-1).cast(typ)
     exits = blocks.where("is_exit").select(*FN, virtual.alias("src"), F.col("block").alias("dst"))
     roots = exits.select(*FN, F.col("src").alias("node")).distinct()
-    dom = dominators(roots, back.union(exits), FN, hops)
+    dom = dominators(roots, back.union(exits), FN)
     return dom.where("dom <> -1").select(*FN, F.col("node").alias("block"), F.col("dom").alias("pdom"), "depth")
 
 
-def cut_vertices(edges: DataFrame, keys: list[str] = FN, hops: int = HOPS) -> DataFrame:
+def cut_vertices(edges: DataFrame, keys: list[str] = FN) -> DataFrame:
     """Nodes whose removal disconnects the undirected graph of ``edges``.
 
     Seen from a root, a node cuts others off exactly if it dominates one of them in the undirected
@@ -274,7 +280,7 @@ def cut_vertices(edges: DataFrame, keys: list[str] = FN, hops: int = HOPS) -> Da
     nodes = both.select(*keys, F.col("src").alias("node")).distinct()
     # One root per connected part: its smallest node.
     part = relax(
-        nodes.withColumn("part", F.col("node")), along(both, keys), keys + ["node"], "part", hops
+        nodes.withColumn("part", F.col("node")), along(both, keys), keys + ["node"], "part", **pace(both, keys)
     )
     first = part.select(*keys, F.col("part").alias("node")).distinct().withColumn("_root", F.lit(0))
     beside = (
@@ -284,12 +290,12 @@ def cut_vertices(edges: DataFrame, keys: list[str] = FN, hops: int = HOPS) -> Da
     )
     tagged = both.withColumn("_root", F.explode(F.array(F.lit(0), F.lit(1))))
     roots = materialise(first.union(beside), "roots")
-    dom = materialise(dominators(roots, tagged, keys + ["_root"], hops), "undirected_dom")
+    dom = materialise(dominators(roots, tagged, keys + ["_root"]), "undirected_dom")
     own = roots.select(*keys, "_root", F.col("node").alias("dom"))
     return dom.join(own, keys + ["_root", "dom"], "left_anti").select(*keys, F.col("dom").alias("node")).distinct()
 
 
-def backward_roots(starts: DataFrame, operands: DataFrame, roots: DataFrame, keys: list[str], hops: int = HOPS) -> DataFrame:
+def backward_roots(starts: DataFrame, operands: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, root): the roots a start reads, walking operands back and stopping at roots.
 
     ``operands`` are (src = producer, dst = consumer); ``roots`` (keys, node) stop the walk.
@@ -298,7 +304,7 @@ def backward_roots(starts: DataFrame, operands: DataFrame, roots: DataFrame, key
     stop = materialise(roots.select(*keys, "node").distinct(), "roots")
     open_reads = materialise(reads.join(stop.withColumnRenamed("node", "src"), keys + ["src"], "left_anti"), "reads")
     seed = starts.select(*keys, F.col("node").alias("start"), "node")
-    seen = closure(seed, along(open_reads, keys), hops)
+    seen = closure(seed, along(open_reads, keys), **pace(open_reads, keys))
     return seen.join(stop, keys + ["node"], "left_semi").select(*keys, "start", F.col("node").alias("root"))
 
 
