@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, UNKNOWN
 from tidemark.operators.ordered import OrderedRows
+from tidemark.session import materialise
 
 CALL = ["module", "inst"]
 GROUP = ["module", "grp"]
@@ -95,9 +96,12 @@ class Resolved:
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame, vtable_types: DataFrame, vtable_slots: DataFrame) -> Resolved:
-    """Direct, alias, slot, signature in this order; what finds no target is unknown."""
+    """Direct, alias, slot, signature in this order; what finds no target is unknown.
+
+    Calls and targets are used many times by whatever comes next, so both are written once.
+    """
     direct = resolve_direct_calls(calls)
-    slots = slot_targets(calls, vtable_types, vtable_slots)
+    slots = materialise(slot_targets(calls, vtable_types, vtable_slots), "slot_targets")
     types = signature_targets(functions)
     indirect = calls.where("callee is null and alias_of is null")
     known_slots = slots.select(*GROUP).distinct().withColumn("slot_ok", F.lit(True))
@@ -109,14 +113,14 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, vtable_types: DataFram
         .join(known_types, ["module", "tgrp"], "left")
     )
     how = F.when(F.col("slot_ok"), "slot").when(F.col("type_ok"), "signature")
-    tried = tried.select(
-        "module", "fn", "inst", how.alias("how"), F.when(F.col("slot_ok"), F.col("grp")).otherwise(F.col("tgrp")).alias("grp")
-    )
-    own = direct.select("module", "grp", "target").distinct()
+    group = F.when(F.col("slot_ok"), F.col("grp")).otherwise(F.col("tgrp"))
+    tried = tried.select("module", "fn", "inst", how.alias("how"), group.alias("grp"))
+    found = materialise(direct.drop("target").unionByName(tried), "resolved_calls")
+    targets = direct.select("module", "grp", "target").distinct().unionByName(slots).unionByName(types)
     return Resolved(
-        direct.drop("target").unionByName(tried.where("how is not null")),
-        own.unionByName(slots).unionByName(types),
-        tried.where("how is null").select("module", "fn", "inst"),
+        found.where("how is not null"),
+        materialise(targets, "call_targets"),
+        found.where("how is null").select("module", "fn", "inst"),
     )
 
 

@@ -21,18 +21,20 @@ LIMIT_CONF = "spark.tidemark.rowsPerTask"
 class OrderedRows:
     """Rows of ``df`` in ``order`` inside ``keys``; each method adds one column to ``self.df``.
 
-    ``order`` must be a total order inside a key.
+    ``order`` must be a total order inside a key. ``rows`` may give a bound on the row count that is
+    cheaper to get than counting ``df``.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], limit: int | None = None):
+    def __init__(
+        self, df: DataFrame, keys: list[str], order: list[str], limit: int | None = None, rows: int | None = None
+    ):
         spark = df.sparkSession
         self.keys, self.order = keys, order
         limit = limit or int(spark.conf.get(LIMIT_CONF, str(ROWS_PER_TASK)))
-        self.df, self.split = self._split(df, limit)
+        small = (df.count() if rows is None else rows) <= limit
+        self.df, self.split = (df, False) if small else self._split(df, limit)
 
     def _split(self, df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-        if df.count() <= limit:
-            return df, False
         hot = materialise(df.groupBy(*self.keys).count().where(F.col("count") > limit), "hot_keys")
         rows = hot.agg(F.sum("count")).first()[0]
         if not rows:

@@ -29,6 +29,10 @@ class Sessions:
         self.spark, self.sf_dir = spark, sf_dir
         self._rows = None
 
+    @property
+    def n_rows(self) -> int:
+        return table(self.spark, self.sf_dir, "events").count()  # from the file footers
+
     @property
     def events(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
@@ -47,9 +51,10 @@ class Sessions:
         """One row per event with position, operand, location and seed label."""
         if self._rows is not None:
             return self._rows
-        by_fn = OrderedRows(self.events, FN, ["ts"]).row_number("pos").lead("block", "next_block")
-        by_block = OrderedRows(by_fn.result(), BLOCK, ["ts"]).row_number("_rn").lead("inst", "_next")
-        rows = OrderedRows(by_block.result(), FN + ["opcode"], ["ts"]).lag("inst", "operand").result()
+        n = self.n_rows
+        by_fn = OrderedRows(self.events, FN, ["ts"], rows=n).row_number("pos").lead("block", "next_block")
+        by_block = OrderedRows(by_fn.result(), BLOCK, ["ts"], rows=n).row_number("_rn").lead("inst", "_next")
+        rows = OrderedRows(by_block.result(), FN + ["opcode"], ["ts"], rows=n).lag("inst", "operand").result()
         level = (
             F.when((F.col("opcode") == "error") & (F.col("value") > 150), DEP)
             .when(F.col("opcode") == "signup", ARG)
@@ -80,7 +85,7 @@ class Sessions:
 
     @property
     def operands(self) -> DataFrame:
-        rows = OrderedRows(self.events, FN + ["opcode"], ["ts"]).lag("inst", "operand").result()
+        rows = OrderedRows(self.events, FN + ["opcode"], ["ts"], rows=self.n_rows).lag("inst", "operand").result()
         return rows.where("operand is not null").select(
             "module", "fn", F.col("operand").alias("src"), F.col("inst").alias("dst")
         )
@@ -100,7 +105,7 @@ class Sessions:
 
     @property
     def block_edges(self) -> DataFrame:
-        rows = OrderedRows(self.events, FN, ["ts"]).lead("block", "next_block").result()
+        rows = OrderedRows(self.events, FN, ["ts"], rows=self.n_rows).lead("block", "next_block").result()
         return (
             rows.where("next_block <> block")
             .select("module", "fn", F.col("block").alias("src"), F.col("next_block").alias("dst"))
@@ -151,7 +156,7 @@ class Parts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._succ = self._fns = None
+        self._succ = self._fns = self._calls = None
 
     @property
     def _lines(self) -> DataFrame:
@@ -172,7 +177,8 @@ class Parts:
         """Every line with its position in the order and the part that follows, written once."""
         if self._succ is None:
             order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-            rows = OrderedRows(self._lines, ["l_orderkey"], order).row_number("pos").lead("l_partkey", "next_part")
+            n = table(self.spark, self.sf_dir, "lineitem").count()  # from the file footers
+            rows = OrderedRows(self._lines, ["l_orderkey"], order, rows=n).row_number("pos").lead("l_partkey", "next_part")
             named = rows.result().withColumn("inst", F.concat_ws("-", "l_orderkey", "pos"))
             self._succ = materialise(named.drop("l_suppkey", "l_extendedprice", "l_linenumber"), "succession")
         return self._succ
@@ -232,7 +238,13 @@ class Parts:
 
     @property
     def calls(self) -> DataFrame:
-        """Direct, through an alias, by signature or by table slot."""
+        """Direct, through an alias, by signature or by table slot; written once."""
+        if self._calls is None:
+            self._calls = materialise(self._call_facts, "calls")
+        return self._calls
+
+    @property
+    def _call_facts(self) -> DataFrame:
         tail = self.part.select(
             F.col("p_partkey").alias("next_part"), _fn_type().alias("t_fn_type"), "p_type", F.col("p_size").alias("size")
         )
