@@ -108,6 +108,18 @@ def test_chase_follows_long_chains_and_leaves_cycles_out(spark):
     assert got == {i: (40, 40 - i) for i in range(40)}
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    from tidemark.operators import fixpoint
+
+    rounds = []
+    add = fixpoint._Rounds.add
+    monkeypatch.setattr(fixpoint._Rounds, "add", lambda self, df: rounds.append(1) or add(self, df))
+    line = spark.createDataFrame([(1, i, i + 1) for i in range(200)], "module int, src int, dst int")
+    start = spark.createDataFrame([(1, 0)], "module int, node int")
+    assert graph.reachable(start, line, ["module"]).count() == 201
+    assert len(rounds) < 12
+
+
 def test_pace_sees_hubs(spark):
     hub = [(1, i, 500) for i in range(60)] + [(1, 500, 600 + i) for i in range(60)]
     assert pace(spark.createDataFrame(hub, "module int, src int, dst int"), ["module"])["stride"] == 1

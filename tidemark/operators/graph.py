@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, csv
-from tidemark.operators.fixpoint import chase, closure, pace, relax
+from tidemark.operators.fixpoint import chase, closure, pace, relax, skip_links
 from tidemark.session import materialise
 
 FN = ["module", "fn"]
@@ -33,7 +33,7 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
 
 def spread(seed: DataFrame, edges: DataFrame, keys: list[str], subsumed=None) -> DataFrame:
     """Rows of ``seed`` (keys, node, ...) carried along the edges to every node they reach."""
-    edges = materialise(edges.select(*keys, "src", "dst"), "edges")
+    edges = skip_links(materialise(edges.select(*keys, "src", "dst").distinct(), "edges"), keys)
     return closure(seed, along(edges, keys), subsumed=subsumed, **pace(edges, keys))
 
 
