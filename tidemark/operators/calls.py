@@ -129,6 +129,26 @@ def unmodelled_externals(resolved: Resolved, functions: DataFrame, models: DataF
     return resolved.unmodelled_calls(functions, models).select("module", "name").distinct()
 
 
+def called_functions(resolved: Resolved) -> DataFrame:
+    """Direct and resolved targets of all calls as one set, (module, target)."""
+    used = resolved.calls.select(*GROUP).distinct()
+    return resolved.targets.join(used, GROUP, "left_semi").select("module", "target").distinct()
+
+
+def deterministic_only(resolved: Resolved, places: DataFrame) -> DataFrame:
+    """Functions called from independent places and never from dependent ones, (module, target).
+
+    ``places`` (module, inst, in_dep); the two kinds of place are merged per group before targets.
+    """
+    groups = resolved.calls.join(places, CALL).groupBy(*GROUP).agg(
+        F.bool_or("in_dep").alias("dep"), F.bool_or(~F.col("in_dep")).alias("indep")
+    )
+    per_fn = groups.join(resolved.targets, GROUP).groupBy("module", "target").agg(
+        F.bool_or("dep").alias("dep"), F.bool_or("indep").alias("indep")
+    )
+    return per_fn.where("indep and not dep").select("module", "target")
+
+
 def apply_models(
     external_calls: DataFrame, actuals: DataFrame, models: DataFrame, pointer_args: DataFrame
 ) -> DataFrame:

@@ -349,8 +349,7 @@ def j15(spark, sf):
 @query("u1_union_targets", PARTS + "SELECT DISTINCT module, target FROM resolved")
 def u1(spark, sf):
     _, r = resolved_parts(spark, sf)
-    used = r.calls.select(*C.GROUP).distinct()
-    return r.targets.join(used, C.GROUP, "left_semi").select("module", "target").distinct()
+    return C.called_functions(r)
 
 
 @query(
@@ -362,10 +361,7 @@ def u1(spark, sf):
 def u2(spark, sf):
     p, r = resolved_parts(spark, sf)
     place = p.call_lines.select(*C.CALL, (F.col("l_quantity") >= 48).alias("in_dep"))
-    groups = r.calls.join(place, C.CALL).groupBy(*C.GROUP).agg(F.bool_or("in_dep").alias("dep"), F.bool_or(~F.col("in_dep")).alias("indep"))
-    per_fn = groups.join(r.targets, C.GROUP).groupBy("module", "target").agg(F.bool_or("dep").alias("dep"), F.bool_or("indep").alias("indep"))
-    called = lambda flag: per_fn.where(flag).select("module", "target")
-    return called("indep").subtract(called("dep"))
+    return C.deterministic_only(r, place)
 
 
 @query(
