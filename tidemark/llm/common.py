@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> I
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index("text"))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
@@ -68,7 +69,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, offs, data = col.buffers()
     off = np.frombuffer(offs, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)

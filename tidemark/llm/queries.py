@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import line_chunks, mixing, quality
+from tidemark.llm import line_chunks, minhash, mixing, quality
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -30,6 +30,11 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup(table(spark, sf_dir))
 
 
+@query
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
