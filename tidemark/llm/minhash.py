@@ -7,9 +7,9 @@ probability (1 - (1 - t^HALF)^SIDE)^2, 0.99998 for t = 0.8. A half key that one
 table key that two have, so halves are counted first and only shared ones are paired.
 
 In every bucket the member whose half keys are shared most (the middle of a group of copies) is the pivot; the others
-are verified against it on their full sets. A bucket whose members are not one component yet goes on: pairs
-across components are verified too, unless lengths or the triangle inequality of Jaccard distance (both distances
-to the pivot are known) rule a link out. So no group makes all its pairs, and no candidate is skipped unseen.
+are verified against it on their full sets. A bucket whose members are not one component yet goes on: its pairs
+across components are verified too, unless a prefix filter (exact for the threshold) rules a link out. So no group
+makes all its pairs, and no candidate is skipped unseen.
 
 Null or empty text, or no words: empty set, linked with nothing. Null doc_id: never linked, component null, kept.
 Repeated doc_id: each row has the component of its own set; sets whose smallest doc_id is the same are one node.
@@ -92,7 +92,9 @@ def _sets(k: int):
         with np.errstate(over="ignore"):
             for batch in text_batches(batches):
                 sets = shingle_sets(*text_bytes(batch.column(1)), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["id", "members"])
 
     return run
 
@@ -103,7 +105,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         found = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = x.values.to_numpy(), y.values.to_numpy()
             both = np.concatenate([x, y])
             both.sort()
             found.append((len(x), len(y), int((both[1:] == both[:-1]).sum())))
@@ -118,6 +120,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return materialise(met.mapInArrow(_overlaps, "x long, y long, nx long, ny long, common long"), name)
 
 
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): every pair of ``docs`` (rep, n, comp) of two components that can be a link.
+
+    Sets that share ``percent`` of their union share one of their n - ceil(n * percent / 100) + 1 rarest members. So a
+    document with more members of its own than that meets nobody, and members that one component alone has are skipped. From
+the rarest member in common on, both must still hold what a link needs.
+    """
+    members = docs.join(sets, F.col("rep") == F.col("id")).select("rep", "n", "comp", F.explode("members").alias("m"))
+    rare = members.groupBy("m").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).select(F.col("m").alias("rm"), "df", "lo", "hi")
+    ranked = members.join(rare, F.col("m") == F.col("rm")).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "m", "lo", "hi"))).alias("all"))
+    prefix = ranked.selectExpr("rep", "n", "comp", f"posexplode(slice(all, 1, cast(n - ceil(n * {percent} / 100) + 1 as int))) as (pos, e)")
+    prefix = prefix.filter("e.lo <> e.hi").selectExpr("rep", "n", "comp", "e.m", "e.lo", "n - pos as left")
+    prefix = materialise(prefix, "prefix")
+    a = prefix.filter("comp <> lo").selectExpr("rep as x", "n as nx", "comp as cx", "m", "left as lx")
+    b = prefix.selectExpr("rep as y", "n as ny", "comp as cy", "m", "left as ly")
+    met = a.join(b, "m").filter(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    met = met.filter(f"{100 + percent} * least(lx, ly) >= {percent} * (nx + ny)")
+    return met.selectExpr("least(x, y) as x", "greatest(x, y) as y").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, side: int = SIDE, half: int = HALF) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of ``docs``."""
     text = slim(docs, "doc_id", "text")
@@ -147,22 +169,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, side: int =
     involved = stars.selectExpr("explode(array(rep, pivot)) as i").distinct()
     ids = materialise(involved, "involved")
     held = text.join(ids, F.col("doc_id") == F.col("i")).select("doc_id", "text")
-    sets = materialise(held.mapInArrow(_sets(k), "id long, members binary"), "sets")
+    sets = materialise(held.mapInArrow(_sets(k), "id long, members array<long>"), "sets")
     against = _verify(first, sets, "against")
     links = against.filter(linked).selectExpr("x as a", "y as b")
     comps = materialise(components(links), "components")
-    # What is left: buckets with members in more than one component.
-    known_d = against.selectExpr("x", "y", "1 - common / (nx + ny - common) as d")
+    # What is left: members of buckets that hold more than one component.
     named = stars.join(comps.selectExpr("node as rn", "component as rc"), F.col("rep") == F.col("rn"), "left")
-    named = named.selectExpr("t", "rep", "n", "pivot", "coalesce(rc, rep) as comp")
+    named = named.selectExpr("t", "rep", "n", "coalesce(rc, rep) as comp")
     split = named.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
-    open_ = named.join(split, "t").join(known_d, (F.col("rep") == F.col("x")) & (F.col("pivot") == F.col("y")), "left")
-    open_ = materialise(open_.selectExpr("t", "rep", "n", "comp", "d"), "open")
-    o, q = open_, open_.selectExpr("t as t2", "rep as rep2", "n as n2", "comp as comp2", "d as d2")
-    far = (100 - percent) / 100 + 1e-9
-    more = o.join(q, (F.col("t") == F.col("t2")) & (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")))
-    more = more.filter(near.format("n", "n2")).filter(f"d is null or d2 is null or abs(d - d2) <= {far!r}D")
-    more = materialise(more.selectExpr("rep as x", "rep2 as y").distinct(), "more")
+    open_ = materialise(named.join(split, "t", "left_semi").select("rep", "n", "comp").distinct(), "open")
+    more = materialise(_prefix_pairs(open_, sets, percent), "more")
     if not more.isEmpty():
         extra = _verify(more, sets, "rest").filter(linked).selectExpr("x as a", "y as b")
         links = comps.filter("node <> component").selectExpr("node as a", "component as b").unionByName(extra)
