@@ -7,6 +7,7 @@ import numpy as np
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 2**64)
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64) | np.uint64(1)
+_BYTE2 = np.random.default_rng(20240602).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64) | np.uint64(1)
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -29,10 +30,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def prefix(raw: np.ndarray) -> np.ndarray:
-    """Sums from which ``stretch`` takes the hash of any stretch; n + 1 of them."""
+def prefix(raw: np.ndarray, second: bool = False) -> np.ndarray:
+    """Sums from which ``stretch`` takes the hash of any stretch; n + 1 of them. ``second``: of another hash."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+    np.cumsum((_BYTE2 if second else _BYTE)[raw] * _powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
     return out
 
 

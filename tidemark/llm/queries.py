@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embed, line_chunks, minhash, mixing, quality
+from tidemark.llm import embed, line_chunks, minhash, mixing, quality, suffix
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -30,6 +30,11 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup(table(spark, sf_dir))
 
 
+@query
+def op5_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir))
+
+
 @query
 def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
