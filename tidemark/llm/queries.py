@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import embed, line_chunks, minhash, mixing, quality, suffix
+from tidemark.llm import embed, licenses, line_chunks, minhash, mixing, quality, secrets, suffix
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -30,6 +31,15 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup(table(spark, sf_dir))
 
 
+@query
+def op4_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir))
+    n = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS]
+    named = "transform({}, s -> concat_ws(':', s.kind, s.start, s.end))"
+    base = F.expr(f"sha2(array_join({named.format("filter(spans, s -> s.kind <> 'guess')")}, ','), 256)")
+    return found.select("doc_id", *n, base.alias("base_sha256"), F.expr(f"array_join({named.format('spans')}, ',')").alias("spans"), "log10_guesses")
+
+
 @query
 def op5_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir))
@@ -40,6 +50,11 @@ def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_template_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir)).drop("spans")
+
+
 @query
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir))
