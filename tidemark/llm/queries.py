@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed, licenses, line_chunks, minhash, mixing, quality, secrets, suffix
+from tidemark.llm import embed, licenses, line_chunks, minhash, mixing, pieces, quality, secrets, suffix
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -31,6 +31,11 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup(table(spark, sf_dir))
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir))
+
+
 @query
 def op4_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir))
