@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed, licenses, line_chunks, minhash, mixing, pieces, quality, secrets, suffix
+from tidemark.llm import embed, licenses, line_chunks, minhash, mixer, mixing, pieces, quality, secrets, suffix
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -60,6 +60,11 @@ def op7_template_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir)).drop("spans")
 
 
+@query
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixer.score(table(spark, sf_dir))
+
+
 @query
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir))
