@@ -188,3 +188,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, side: int =
     rows = sig.join(named, (F.col("mark") == F.col("_m")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     out = rows.selectExpr("doc_id", "n_shingles", "coalesce(c, doc_id) as component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that are near copies of one with a smaller doc_id in their component. All columns stay.
+
+    Rows with equal doc_id stay or go together: they stay if one of them is kept.
+    """
+    ids = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("_d"))
+    return rows.join(materialise(ids, "kept"), F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
