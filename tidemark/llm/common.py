@@ -33,14 +33,18 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
-def with_tie(docs: DataFrame, whole: bool = False) -> DataFrame:
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether several rows have one doc_id, looked up over the ids alone."""
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def with_tie(docs: DataFrame, whole: bool = False, repeat: bool | None = None) -> DataFrame:
     """(doc_id, tie, text): ``tie`` tells rows with one doc_id apart, by a hash of their text; 0 if no id repeats.
 
-    Whether any id repeats is looked up over the ids alone; the answer only decides whether the hash is needed.
-    ``whole`` adds ``row``, a struct of all columns.
+    Whether any id repeats only decides whether the hash is needed. ``whole`` adds ``row``, a struct of all columns.
     """
-    repeats = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id").limit(1).count()
-    tie = F.xxhash64(docs["text"]) if repeats else F.lit(0).cast("long")
+    repeat = ids_repeat(docs) if repeat is None else repeat
+    tie = F.xxhash64(docs["text"]) if repeat else F.lit(0).cast("long")
     more = [F.struct("*").alias("row")] if whole else []
     return docs.select(docs["doc_id"].alias("doc_id"), tie.alias("tie"), docs["text"].alias("text"), *more)
 
