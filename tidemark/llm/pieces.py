@@ -107,8 +107,13 @@ def build(raw: bytes) -> Tokenizer:
         steps.append(normalizers.Prepend(" "))
     steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
+    cuts = []
     if not any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
+        cuts.append(pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated"))
+    if model["type"] == 1 and not any("<" in p[1:] or p.startswith("<") and len(p) > 1 for p, _, kind in pieces if kind == NORMAL):
+        cuts.append(pre_tokenizers.Split("<", "isolated"))  # the names of special pieces in a text are ordinary text
+    if cuts:
+        t.pre_tokenizer = pre_tokenizers.Sequence(cuts)
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model["prefix"] else [])])
     users = [AddedToken(p, normalized=True) for p, _, kind in pieces if kind == USER]
     if users:
@@ -152,12 +157,15 @@ class Encoder:
     def __init__(self, raw: bytes, words: int = 400_000):
         self.tokenizer, self.words = tokenizer(raw), words
         model = parse(raw)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and model["prefix"] and not model["squeeze"] and not model["charsmap"]
+        self.mark = self.tokenizer.token_to_id(MARK)
+        spans = any(MARK in p.lstrip(MARK) for p, _, _ in model["pieces"])
+        self.by_word = not spans and self.mark is not None and model["prefix"] and not model["squeeze"] and not model["charsmap"]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends, self.good = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        # The empty word is a lone blank at a text's end.
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.ends, self.good = np.array([self.mark or 0], np.int32), np.array([0, 1]), np.ones(1, bool)
 
     def _learn(self, words: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
