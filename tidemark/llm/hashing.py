@@ -20,13 +20,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n of each."""
-    size = 1 << max(22, (n - 1).bit_length())
-    if size not in _cache:
+    size = 1 << max(20, (n - 1).bit_length())
+    if not any(k >= n for k in _cache):
         _cache.clear()
         up, down = np.full(size, _B, np.uint64), np.full(size, _BI, np.uint64)
         up[0] = down[0] = 1
         _cache[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    up, down = _cache[size]
+    up, down = next(iter(_cache.values()))
     return up[:n], down[:n]
 
 

@@ -41,6 +41,7 @@ LEAST_BITS, MOST_BITS, STRIPE = 18, 21, 16384
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
 RATE, BATCH = 0.001, 8192
 CLIP = 8.0
+SLICE = 4_000_000
 TINY = 1e-4
 
 
@@ -160,7 +161,7 @@ def _distinct(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Itera
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         return s[first], np.add.reduceat(n, first)
 
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, SLICE):
         s, _ = strings(*text_bytes(batch.column(0)))
         held.append(np.unique(s, return_counts=True))
         if sum(len(x) for x, _ in held) > most:
@@ -254,7 +255,7 @@ def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, SLICE):
             h, n = np.unique(_words(*text_bytes(batch.column(0)))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -265,7 +266,7 @@ def _score(counts, rest, head):
         heads, value = head.value
         known, costs = np.zeros(0, np.uint64), np.zeros(0)
         with np.errstate(over="ignore"):
-            for batch in text_batches(batches):
+            for batch in text_batches(batches, SLICE):
                 raw, off = text_bytes(batch.column(2))
                 docs = batch.num_rows
                 s, ends = strings(raw, off)

@@ -154,7 +154,7 @@ class Encoder:
     """Encodes batches of texts. Under an identity normaliser whose pieces never span a blank, each different word of a batch is
     encoded once, and at most ``words`` of them are remembered for later batches; else texts are encoded whole."""
 
-    def __init__(self, raw: bytes, words: int = 400_000):
+    def __init__(self, raw: bytes, words: int = 200_000):
         self.tokenizer, self.words = tokenizer(raw), words
         model = parse(raw)
         self.mark = self.tokenizer.token_to_id(MARK)
@@ -196,8 +196,8 @@ class Encoder:
             words += w
             n.append(len(w))
         new = list(set(words) - self.known.keys())
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), 20_000):
+            self._learn(new[k : k + 20_000])
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = np.diff(self.ends)[at]
         upto = np.concatenate([[0], np.cumsum(size)])
