@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -43,3 +44,29 @@ def test_split_equals_plain(rows):
 
 def test_cold_keys_stay_whole(rows):
     assert not OrderedRows(rows, ["k"], ["o"], limit=1000).split
+
+
+def _all_columns(rows, limit):
+    ordered = OrderedRows(rows, ["k", "j"], ["o"], limit=limit)
+    out = (
+        ordered.row_number("rn").running_sum(F.col("n"), "sum").running_sum(F.col("d"), "dec").lag("s", "lag")
+        .lead("s", "lead").max_before(F.col("n"), "mb").max_before(F.col("n"), "ma", desc=True).result()
+    )
+    return ordered.split, out.select("k", "j", "o", "rn", "sum", "dec", "lag", "lead", "mb", "ma")
+
+
+def test_null_keys_and_values_survive_the_cut(spark):
+    rnd = random.Random(8)
+    # The NULL key is hot; leading values of a key are NULL.
+    data = [
+        (None if i % 2 else rnd.choice([1, None]), rnd.choice([None, 5]) if i % 3 else None, i,
+         None if i < 60 or i % 5 == 0 else rnd.randint(-9, 9), None if i % 7 == 0 else Decimal(i), None if i % 4 else f"v{i}")
+        for i in range(240)
+    ]
+    rows = spark.createDataFrame(data, "k int, j int, o int, n int, d decimal(20,2), s string")
+    plain_split, plain = _all_columns(rows, 10_000)
+    split, cut = _all_columns(rows, 20)
+    assert split and not plain_split
+    assert [(f.name, f.dataType) for f in cut.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert sorted(cut.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert cut.count() == len(data)

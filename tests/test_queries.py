@@ -10,8 +10,10 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.check import compare, connect
+from tidemark.queries import all_queries as queries
+from tidemark.queries import all_sql as oracle_sql
 
 LOOPS = {
     "g3_post_dominators", "g4_control_labels", "g5_block_effects", "g6_merge_at_joins", "g9_loop_membership",

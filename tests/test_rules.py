@@ -141,8 +141,8 @@ def test_final_arguments(spark):
 
 def test_variants_inside_variants(spark):
     tpl = spark.createDataFrame(
-        [(1, 1, "a", 2, [P.ONE, P.ZERO]), (1, 2, "b", 3, [0]), (1, 2, "c", 4, [1]), (1, 9, "d", 3, [P.ZERO]), (1, 1, "e", 5, [])],
-        "module int, fn long, inst string, callee long, tpl array<int>",
+        [(1, 1, "a", 2, [[P.ONE], []]), (1, 2, "b", 3, [[0]]), (1, 2, "c", 4, [[1]]), (1, 9, "d", 3, [[]]), (1, 1, "e", 5, [])],
+        "module int, fn long, inst string, callee long, tpl array<array<int>>",
     )
     none = spark.createDataFrame([], "module int, inst string")
     skip = spark.createDataFrame([(1, 9), (1, 2)], "module int, fn long")

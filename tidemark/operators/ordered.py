@@ -8,6 +8,8 @@ across the cuts.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ LIMIT_CONF = "spark.tidemark.rowsPerTask"
 class OrderedRows:
     """Rows of ``df`` in ``order`` inside ``keys``; each method adds one column to ``self.df``.
 
-    ``order`` must be a total order inside a key. ``rows`` may give a bound on the row count that is
-    cheaper to get than counting ``df``.
+    ``order`` must be a total order inside a key; NULL keys are keys. Without ``rows``, a bound on the row
+    count, ``df`` is written once, so that counting it does not run it twice. Cut or not, values and types
+    are the same.
     """
 
     def __init__(
@@ -31,7 +34,10 @@ class OrderedRows:
         spark = df.sparkSession
         self.keys, self.order = keys, order
         limit = limit or int(spark.conf.get(LIMIT_CONF, str(ROWS_PER_TASK)))
-        small = (df.count() if rows is None else rows) <= limit
+        if rows is None:
+            df = materialise(df, "ordered_rows")
+            rows = df.count()
+        small = rows <= limit
         self.df, self.split = (df, False) if small else self._split(df, limit)
 
     def _split(self, df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
@@ -42,15 +48,20 @@ class OrderedRows:
         hot = hot.drop("count")
         parts = 2 * math.ceil(rows / limit)
         # The range number must be the same in every later branch, so it is written down once.
+        is_hot = self._same_keys(df, hot)
         ranged = materialise(
-            df.join(hot, self.keys, "left_semi")
+            df.join(hot, is_hot, "left_semi")
             .repartitionByRange(parts, *self.keys, *self.order)
             .withColumn("_range", F.spark_partition_id()),
             "hot_rows",
         )
-        cold = df.join(hot, self.keys, "left_anti").withColumn("_range", F.lit(0))
+        cold = df.join(hot, is_hot, "left_anti").withColumn("_range", F.lit(0))
         return cold.unionByName(ranged), True
 
+    def _same_keys(self, a: DataFrame, b: DataFrame, more: tuple[str, ...] = ()) -> Column:
+        """Equal keys, NULL with NULL."""
+        return reduce(and_, [a[c].eqNullSafe(b[c]) for c in (*self.keys, *more)])
+
     def _window(self, desc: bool = False):
         cols = [F.col(c).desc() if desc else F.col(c).asc() for c in self.order]
         keys = self.keys + (["_range"] if self.split else [])
@@ -64,7 +75,11 @@ class OrderedRows:
         return per_range.select(*self.keys, "_range", carry(w).alias("_c"))
 
     def _join_carry(self, local: DataFrame, carried: DataFrame, name: str, combine: Column) -> None:
-        self.df = local.join(carried, self.keys + ["_range"]).withColumn(name, combine).drop("_l", "_c")
+        kind = local.schema["_l"].dataType
+        names = {c: f"_k{i}" for i, c in enumerate([*self.keys, "_range"])}
+        carried = carried.withColumnsRenamed(names)
+        met = reduce(and_, [local[c].eqNullSafe(carried[k]) for c, k in names.items()])
+        self.df = local.join(carried, met).withColumn(name, combine.cast(kind)).drop("_l", "_c", *names.values())
 
     @staticmethod
     def _before(w):
@@ -72,7 +87,7 @@ class OrderedRows:
 
     def row_number(self, name: str) -> "OrderedRows":
         """1-based position inside the key."""
-        local = F.row_number().over(self._window())
+        local = F.row_number().over(self._window()).cast("long")
         if not self.split:
             self.df = self.df.withColumn(name, local)
             return self
@@ -88,10 +103,9 @@ class OrderedRows:
         if not self.split:
             self.df = self.df.withColumn(name, local)
             return self
-        carried = self._carried(F.sum(value), lambda w: F.coalesce(F.sum("_s").over(self._before(w)), F.lit(0)))
-        self._join_carry(
-            self.df.withColumn("_l", local), carried, name, F.coalesce(F.col("_l"), F.lit(0)) + F.col("_c")
-        )
+        carried = self._carried(F.sum(value), lambda w: F.sum("_s").over(self._before(w)))
+        both = F.coalesce(F.col("_l") + F.col("_c"), F.col("_l"), F.col("_c"))
+        self._join_carry(self.df.withColumn("_l", local), carried, name, both)
         return self
 
     def max_before(self, value: Column, name: str, desc: bool = False) -> "OrderedRows":

@@ -16,16 +16,29 @@ def report_long(metrics: DataFrame, section: str, keys: list[str], names: list[s
 
 
 def report_json(long: DataFrame) -> DataFrame:
-    """One nested document per owner; an empty section or kind level is left out.
+    """One nested document per (section, owner); an empty section, owner or kind level is left out.
 
-    The group is bounded by the number of metric names, not by the data.
+    The groups are bounded by the number of metric names, not by the data. Names are escaped by ``to_json``.
     """
-    entries = F.sort_array(F.collect_list(F.struct("name", "value")))
-    docs = long.groupBy("section", "owner", "kind").agg(F.map_from_entries(entries).alias("m"))
-    body = F.to_json("m")
-    wrap = lambda key, inner: F.when(key == "", inner).otherwise(F.concat(F.lit('{"'), key, F.lit('":'), inner, F.lit("}")))
-    doc = wrap(F.col("section"), wrap(F.col("owner"), wrap(F.col("kind"), body)))
-    return docs.select("section", "owner", doc.alias("doc"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value"))))
+    kinds = long.groupBy("section", "owner", "kind").agg(entries.alias("m"))
+    plain = F.max_by("m", F.col("kind") == "").alias("plain")
+    named = F.sort_array(F.collect_list(F.when(F.col("kind") != "", F.struct("kind", F.map_entries("m").alias("e")))))
+    docs = kinds.groupBy("section", "owner").agg(plain, F.bool_or(F.col("kind") == "").alias("flat"), named.alias("named"))
+    by_kind = F.map_from_entries(F.transform("named", lambda x: F.struct(x["kind"], F.map_from_entries(x["e"]))))
+
+    def nested(body: Column) -> Column:
+        """``body`` below the owner and the section that are not empty."""
+        section, owner = F.col("section"), F.col("owner")
+        full = F.to_json(F.create_map(section, F.create_map(owner, body)))
+        return (
+            F.when((section != "") & (owner != ""), full)
+            .when(section != "", F.to_json(F.create_map(section, body)))
+            .when(owner != "", F.to_json(F.create_map(owner, body)))
+            .otherwise(F.to_json(body))
+        )
+
+    return docs.select("section", "owner", F.when(F.col("flat"), nested(F.col("plain"))).otherwise(nested(by_kind)).alias("doc"))
 
 
 def label_locations(labels: DataFrame) -> DataFrame:

@@ -49,22 +49,96 @@ def s2(spark, sf):
                     L.csv(F.col("callbacks")).alias("callbacks"))
 
 
-# The C names in alphabetical order, as the session key picks them.
-C_NAMES = sorted(models.C_RETURNS)
+# All names in alphabetical order, as the session key picks them.
+MODEL_NAMES = sorted({*models.C_RETURNS, *models.STRING_METHODS, *models.INTRINSICS})
 
+# Name, target, and what it is merged from.
 _MODEL_SQL = """
- lib(name, ret) AS (SELECT unnest(string_split(names, ' ')), ret FROM (VALUES
-   ('printf remove rename fflush fopen freopen fputc snprintf sscanf puts getenv system fprintf fseek ftell fread fclose', 'dep'),
-   ('malloc calloc memcpy exit free qsort rewind', 'indep'),
-   ('atof atoi atol atoll abs labs strlen log operator_new', '0'),
-   ('realloc strcmp', '0,1'), ('strcpy strcat', '1'), ('fwrite', '1,2')) t(names, ret)),
- outs(name, target, ret) AS (VALUES ('freopen', '2', '0,1'), ('snprintf', '0', '1,2'), ('memcpy', '0', '1,2'),
-   ('realloc', '0', '0,1'), ('fprintf', '0', '0,1'), ('qsort', '0', '0,1'), ('strcpy', '0', '1'), ('strcat', '0', '1'),
-   ('fseek', '0', '0,1,2'), ('ftell', '0', '0'), ('rewind', '0', '0'), ('fread', '0', '1,2,3'), ('fread', '3', '2,3'),
-   ('fclose', '0', 'indep')),
- libm AS (SELECT replace(name, '_', ' ') AS name, 'return' AS target, ret FROM lib
-          UNION ALL SELECT name, target, ret FROM outs),
- picked AS (SELECT list_extract((SELECT list_sort(list(replace(name, '_', ' '))) FROM lib), 1 + block % 38) AS name FROM ev)
+ libm(name, target, ret) AS (VALUES
+   ('printf', 'return', 'dep'),
+   ('remove', 'return', 'dep'),
+   ('rename', 'return', 'dep'),
+   ('fflush', 'return', 'dep'),
+   ('fopen', 'return', 'dep'),
+   ('freopen', 'return', 'dep'),
+   ('fputc', 'return', 'dep'),
+   ('snprintf', 'return', 'dep'),
+   ('sscanf', 'return', 'dep'),
+   ('puts', 'return', 'dep'),
+   ('getenv', 'return', 'dep'),
+   ('system', 'return', 'dep'),
+   ('fprintf', 'return', 'dep'),
+   ('fseek', 'return', 'dep'),
+   ('ftell', 'return', 'dep'),
+   ('fread', 'return', 'dep'),
+   ('fclose', 'return', 'dep'),
+   ('malloc', 'return', 'indep'),
+   ('calloc', 'return', 'indep'),
+   ('memcpy', 'return', 'indep'),
+   ('exit', 'return', 'indep'),
+   ('free', 'return', 'indep'),
+   ('qsort', 'return', 'indep'),
+   ('rewind', 'return', 'indep'),
+   ('memset', 'return', 'indep'),
+   ('declare', 'return', 'indep'),
+   ('atof', 'return', '0'),
+   ('atoi', 'return', '0'),
+   ('atol', 'return', '0'),
+   ('atoll', 'return', '0'),
+   ('abs', 'return', '0'),
+   ('labs', 'return', '0'),
+   ('strlen', 'return', '0'),
+   ('log', 'return', '0'),
+   ('operator new', 'return', '0'),
+   ('realloc', 'return', '0,1'),
+   ('strcmp', 'return', '0,1'),
+   ('strcpy', 'return', '1'),
+   ('strcat', 'return', '1'),
+   ('fwrite', 'return', '1,2'),
+   ('freopen', '2', '0,1'),
+   ('snprintf', '0', '1,2'),
+   ('memcpy', '0', '1,2'),
+   ('realloc', '0', '0,1'),
+   ('fprintf', '0', '0,1'),
+   ('qsort', '0', '0,1'),
+   ('strcpy', '0', '1'),
+   ('strcat', '0', '1'),
+   ('fseek', '0', '0,1,2'),
+   ('ftell', '0', '0'),
+   ('rewind', '0', '0'),
+   ('fread', '0', '1,2,3'),
+   ('fread', '3', '2,3'),
+   ('fclose', '0', 'indep'),
+   ('memset', '0', '1,2'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)', '0', '1'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&, unsigned long, unsigned long, std::__1::allocator<char> const&)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&, unsigned long, unsigned long, std::__1::allocator<char> const&)', '0', '1,2,3'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::~basic_string()', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)', '0', '1'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(char)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(char)', '0', '1'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::assign(char const*)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::assign(char const*)', '0', '1'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::reserve(unsigned long)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::reserve(unsigned long)', '0', '1'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::resize(unsigned long, char)', 'return', 'indep'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::resize(unsigned long, char)', '0', '1,2'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::size() const', 'return', '0'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::length() const', 'return', '0'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::max_size() const', 'return', '0'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::capacity() const', 'return', '0'),
+   ('std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::empty() const', 'return', '0'),
+   ('std::__1::__basic_string_common<true>::__throw_length_error() const', 'return', 'indep'),
+   ('std::__1::char_traits<char>::length(char const*)', 'return', '0'),
+   ('std::__1::char_traits<char>::copy(char*, char const*, unsigned long)', 'return', '1,2'),
+   ('std::__1::char_traits<char>::copy(char*, char const*, unsigned long)', '0', '1,2'),
+   ('std::__1::char_traits<char>::assign(char&, char const&)', 'return', 'indep'),
+   ('std::__1::char_traits<char>::assign(char&, char const&)', '0', '1'),
+   ('std::__1::char_traits<char>::assign(char*, unsigned long, char)', 'return', 'indep'),
+   ('std::__1::char_traits<char>::assign(char*, unsigned long, char)', '0', '1,2')),
+ picked AS (SELECT list_extract((SELECT list_sort(list(DISTINCT name)) FROM libm), 1 + (block + fn) % 58) AS name FROM ev)
 """
 
 
@@ -78,10 +152,9 @@ _MODEL_SQL = """
       FROM picked p JOIN libm m ON m.name = p.name GROUP BY ALL""",
 )
 def s3(spark, sf):
-    names = F.array(*[F.lit(n) for n in C_NAMES])
-    called = Sessions(spark, sf).events.select(
-        F.element_at(names, F.col("block") % len(C_NAMES) + 1).alias("name")
-    )
+    names = F.array(*[F.lit(n) for n in MODEL_NAMES])
+    picked = ((F.col("block") + F.col("fn")) % len(MODEL_NAMES) + 1).cast("int")
+    called = Sessions(spark, sf).events.select(F.element_at(names, picked).alias("name"))
     per_name = called.groupBy("name").agg(F.count(F.lit(1)).alias("n_calls"))
     return per_name.join(models.builtin_models(spark), "name").select(
         "name", "target", "level", L.csv(F.col("arg_deps")).alias("arg_deps"), "n_calls"

@@ -36,26 +36,26 @@ C_OUTS = {
     "fclose": {0: INDEP},
 }
 
-# String class methods; argument 0 is the object.
+# String class methods by demangled name; argument 0 is the object.
 STRING_METHODS = {
-    "string::string(copy)": (INDEP, {0: (1,)}),
-    "string::string(substring)": (INDEP, {0: (1, 2, 3)}),
-    "string::~string": (INDEP, {}),
-    "string::operator=(string)": (INDEP, {0: (1,)}),
-    "string::operator=(char)": (INDEP, {0: (1,)}),
-    "string::assign(char*)": (INDEP, {0: (1,)}),
-    "string::reserve": (INDEP, {0: (1,)}),
-    "string::resize": (INDEP, {0: (1, 2)}),
-    "string::size": ((0,), {}),
-    "string::length": ((0,), {}),
-    "string::max_size": ((0,), {}),
-    "string::capacity": ((0,), {}),
-    "string::empty": ((0,), {}),
-    "__throw_length_error": (INDEP, {}),
-    "char_traits::length": ((0,), {}),
-    "char_traits::copy": ((1, 2), {0: (1, 2)}),
-    "char_traits::assign(char&)": (INDEP, {0: (1,)}),
-    "char_traits::assign(char*, n, c)": (INDEP, {0: (1, 2)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)": (INDEP, {0: (1,)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::basic_string(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&, unsigned long, unsigned long, std::__1::allocator<char> const&)": (INDEP, {0: (1, 2, 3)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::~basic_string()": (INDEP, {}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> > const&)": (INDEP, {0: (1,)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::operator=(char)": (INDEP, {0: (1,)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::assign(char const*)": (INDEP, {0: (1,)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::reserve(unsigned long)": (INDEP, {0: (1,)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::resize(unsigned long, char)": (INDEP, {0: (1, 2)}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::size() const": ((0,), {}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::length() const": ((0,), {}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::max_size() const": ((0,), {}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::capacity() const": ((0,), {}),
+    "std::__1::basic_string<char, std::__1::char_traits<char>, std::__1::allocator<char> >::empty() const": ((0,), {}),
+    "std::__1::__basic_string_common<true>::__throw_length_error() const": (INDEP, {}),
+    "std::__1::char_traits<char>::length(char const*)": ((0,), {}),
+    "std::__1::char_traits<char>::copy(char*, char const*, unsigned long)": ((1, 2), {0: (1, 2)}),
+    "std::__1::char_traits<char>::assign(char&, char const&)": (INDEP, {0: (1,)}),
+    "std::__1::char_traits<char>::assign(char*, unsigned long, char)": (INDEP, {0: (1, 2)}),
 }
 
 # Compiler intrinsics.
@@ -111,17 +111,20 @@ def load_models(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     word = F.get(F.filter("items", lambda v: v.isin("dep", "indep")), F.lit(0))
     level = F.when(word == "dep", DEP).when(word == "indep", INDEP).otherwise(ARG)
     args = F.when(word.isNull(), F.array_sort(F.array_distinct(numbers(F.col("items")))))
-    rows = targets.where("target is null or target = 'return' or try_cast(target as int) is not null")
-    # A config entry without a return rule stays an input (D3).
-    known = F.coalesce("target", F.lit("return"))
-    return rows.select(
+    rows = targets.where("target = 'return' or try_cast(target as int) is not null").select(
         "name",
-        known.alias("target"),
+        "target",
         F.when(F.col("items").isNull(), DEP).otherwise(level).cast("int").alias("level"),
         F.coalesce(args, F.array().cast("array<int>")).alias("arg_deps"),
         "callbacks",
-        F.lit("config").alias("source"),
     )
+    # A name whose return has no rule stays an input (D3).
+    ruled = rows.where("target = 'return'").select("name")
+    open_ = fns.select("name", callbacks.alias("callbacks")).distinct().join(ruled, "name", "left_anti")
+    silent = open_.select(
+        "name", F.lit("return").alias("target"), F.lit(DEP).alias("level"), F.array().cast("array<int>").alias("arg_deps"), "callbacks"
+    )
+    return rows.unionByName(silent).withColumn("source", F.lit("config"))
 
 
 def write_models(models: DataFrame, path: str) -> None:
