@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from tidemark.operators import interproc as I
 from tidemark.operators import report
 from tidemark.operators import specialise as P
 from tidemark.sources import models
@@ -58,3 +59,50 @@ def test_reports_are_valid_json(spark):
         ("", "o"): {"o": {"n": 4.0}},
         ("", ""): {"k": {"n": 5.0}},
     }
+
+
+def _program(spark):
+    from tidemark.operators.calls import Resolved
+
+    names = [(0, 1, "main", False), (0, 2, "u", False), (0, 3, "s", False), (0, 4, "t", False), (0, 5, "ext", True)]
+    functions = spark.createDataFrame([(*n, 1) for n in names], "module int, fn long, name string, is_declaration boolean, n_args int")
+    calls = spark.createDataFrame(
+        [(0, 1, 10, "direct", "fn:3"), (0, 3, 11, "direct", "fn:3"), (0, 2, 12, "direct", "fn:4")], "module int, fn long, inst long, how string, grp string"
+    )
+    targets = spark.createDataFrame([(0, "fn:3", 3), (0, "fn:4", 4)], "module int, grp string, target long")
+    return functions, Resolved(calls, targets, calls.limit(0))
+
+
+def test_functions_nobody_calls(spark):
+    functions, resolved = _program(spark)
+    hot = spark.createDataFrame([(0, 11)], "module int, inst long")  # the call of 3 by itself
+    none = functions.select("module", "fn").limit(0)
+    dep = {r.fn for r in I.dependent_functions(resolved, hot, none, functions).collect()}
+    assert dep == {2, 4}  # 2 is never called, 4 is called by 2; main and the function that calls itself are not
+    assert {r.fn for r in I.dependent_functions(resolved, hot, none).collect()} == set()
+    called = {r.fn: r.called for r in I.call_determinism(resolved, hot, functions).collect()}
+    assert called == {1: "no call", 2: "no call", 3: "dependent", 4: "independent", 5: "no call"}
+    levels = {r.fn: (r.comp, r.level) for r in I.call_levels(resolved, functions).collect()}
+    assert levels[5] == (5, 0) and levels[3][1] < levels[1][1] and set(levels) == {1, 2, 3, 4, 5}
+
+
+def test_a_group_of_callers_and_targets_makes_no_pairs(spark, monkeypatch):
+    from tidemark.operators import interproc
+    from tidemark.operators.calls import Resolved
+
+    n, written = 120, {}
+    calls = spark.range(n).selectExpr("0 as module", "id as fn", "id as inst", "'type' as how", "'type:x' as grp")
+    targets = spark.range(n).selectExpr("0 as module", "'type:x' as grp", f"id + {n} as target")
+    functions = spark.range(2 * n).selectExpr("0 as module", "id as fn", "1 as n_args")
+    actuals = spark.range(n).selectExpr("0 as module", "id as inst", "0 as arg_no", "3 as level", "0 as ref")
+    keep = interproc.materialise
+
+    def counted(df, name="table", path=None):
+        out = keep(df, name, path)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(interproc, "materialise", counted)
+    got = interproc.finalise_arguments(functions, Resolved(calls, targets, calls.limit(0)), actuals)
+    assert got.count() == 2 * n  # the callers are called by nobody, so their arguments and, through them, all targets'
+    assert written["arg_steps"] == 2 * n

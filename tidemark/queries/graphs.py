@@ -413,14 +413,12 @@ CSCC_SQL = """, cre(module, a, b) AS (SELECT module, src, dst FROM cedge
       lv(module, comp, level) AS (SELECT DISTINCT module, comp, 0 FROM cscc
         UNION SELECT l.module, d.up, l.level + 1 FROM lv l JOIN dag d ON d.module = l.module AND d.low = l.comp)
       SELECT c.module, c.node AS fn, c.comp, m.level FROM cscc c
-      JOIN (SELECT module, comp, max(level) AS level FROM lv GROUP BY ALL) m USING (module, comp)""",
+      JOIN (SELECT module, comp, max(level) AS level FROM lv GROUP BY ALL) m USING (module, comp)
+      UNION ALL SELECT module, fn, fn, 0 FROM func f WHERE NOT EXISTS (SELECT 1 FROM cscc c WHERE c.module = f.module AND c.node = f.fn)""",
 )
 def c1(spark, sf):
-    _, r = resolved_parts(spark, sf)
-    nodes = r.calls.select("module", "fn").union(
-        r.targets.join(r.calls.select(*C.GROUP).distinct(), C.GROUP, "left_semi").select("module", F.col("target"))
-    )
-    return I.call_levels(r).join(nodes.distinct(), ["module", "fn"], "left_semi")
+    p, r = resolved_parts(spark, sf)
+    return I.call_levels(r, p.functions)
 
 
 _SUMMARY_SQL = (
@@ -503,6 +501,13 @@ def c4(spark, sf):
 
 _HOTCALL_SQL = """, hot AS (SELECT r.module, r.target AS fn FROM resolved r JOIN callline c USING (module, inst) WHERE c.l_quantity >= 48)"""
 
+# Functions that start dependent: called by another one in a dependent block, callbacks, and those nobody calls.
+DEP_SEED_SQL = """, depseed AS (SELECT r.module, r.target AS fn FROM resolved r JOIN callline c USING (module, inst)
+        WHERE c.l_quantity >= 48 AND r.target <> r.fn
+      UNION SELECT module, fn FROM cb
+      UNION SELECT f.module, f.fn FROM func f WHERE NOT f.is_declaration AND f.name <> 'main'
+        AND NOT EXISTS (SELECT 1 FROM resolved r WHERE r.module = f.module AND r.target = f.fn))"""
+
 
 def in_dep_block(p: Parts):
     return p.call_lines.where("l_quantity >= 48").select(*C.CALL)
@@ -512,13 +517,13 @@ def in_dep_block(p: Parts):
     "c5_dependent_functions",
     PARTS
     + CALLBACK_SQL
-    + _HOTCALL_SQL
-    + """, d(module, fn) AS (SELECT * FROM hot UNION SELECT module, fn FROM cb
+    + DEP_SEED_SQL
+    + """, d(module, fn) AS (SELECT * FROM depseed
       UNION SELECT e.module, e.dst FROM d JOIN cedge e ON e.module = d.module AND e.src = d.fn) SELECT module, fn FROM d""",
 )
 def c5(spark, sf):
     p, r = resolved_parts(spark, sf)
-    return I.dependent_functions(r, in_dep_block(p), session_callbacks(p, r))
+    return I.dependent_functions(r, in_dep_block(p), session_callbacks(p, r), p.functions)
 
 
 @query(
@@ -527,8 +532,9 @@ def c5(spark, sf):
     + _HOTCALL_SQL
     + """, d(module, fn) AS (SELECT * FROM hot UNION SELECT e.module, e.dst FROM d JOIN cedge e ON e.module = d.module AND e.src = d.fn)
       SELECT t.module, t.fn, CASE WHEN d.fn IS NULL THEN 'independent' ELSE 'dependent' END AS called
-      FROM (SELECT DISTINCT module, target AS fn FROM resolved) t LEFT JOIN d USING (module, fn)""",
+      FROM (SELECT DISTINCT module, target AS fn FROM resolved) t LEFT JOIN d USING (module, fn)
+      UNION ALL SELECT module, fn, 'no call' FROM func f WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.module = f.module AND r.target = f.fn)""",
 )
 def c6(spark, sf):
     p, r = resolved_parts(spark, sf)
-    return I.call_determinism(r, in_dep_block(p))
+    return I.call_determinism(r, in_dep_block(p), p.functions)
