@@ -106,3 +106,17 @@ def test_a_group_of_callers_and_targets_makes_no_pairs(spark, monkeypatch):
     got = interproc.finalise_arguments(functions, Resolved(calls, targets, calls.limit(0)), actuals)
     assert got.count() == 2 * n  # the callers are called by nobody, so their arguments and, through them, all targets'
     assert written["arg_steps"] == 2 * n
+
+
+def test_a_long_run_widens_in_few_rounds(spark, monkeypatch):
+    from tidemark.operators import runs
+
+    n, tables = 400, []
+    keep = runs.materialise
+    monkeypatch.setattr(runs, "materialise", lambda df, name="table", path=None: tables.append(name) or keep(df, name, path))
+    # Every row is read by the next; one run at the end, another in the middle of the rows before it.
+    uses = spark.range(n).selectExpr("1L as b", "id as producer", "id + 1 as consumer")
+    found = spark.createDataFrame([(1, n, n), (1, 200, 201)], "b long, begin_idx long, end_idx long")
+    got = {(r.begin_idx, r.end_idx) for r in runs.widen_runs(found, uses, ["b"]).collect()}
+    assert got == {(0, n), (0, 201)}
+    assert tables.count("widen") == 2

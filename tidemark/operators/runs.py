@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +48,35 @@ def run_size() -> Column:
 def widen_runs(runs: DataFrame, uses: DataFrame, keys: list[str]) -> DataFrame:
     """Pull in the row just before a run while some row of the run reads it.
 
-    ``uses`` has one row per (keys, producer, consumer), both as positions. Each round moves the runs
-    that still grow by one row, so the work shrinks with them; runs that stop are set aside.
+    ``uses`` has one row per (keys, producer, consumer), both as positions. One round takes a run back over
+    all rows in a row that it reads, as far as the begin of the run before it; only runs that reach that begin
+    go on. So rounds count runs swallowed whole, not rows.
     """
     first_use = materialise(uses.groupBy(*keys, "producer").agg(F.min("consumer").alias("first_use")), "first_use")
     moving = materialise(runs.select(*keys, "begin_idx", "end_idx"), "runs")
+    bound = first_use.count() + moving.count()
     done = None
     while True:
-        step = moving.withColumn("producer", F.col("begin_idx") - 1).join(first_use, keys + ["producer"], "left")
-        step = step.withColumn("grows", F.coalesce(F.col("first_use") <= F.col("end_idx"), F.lit(False)))
-        step = materialise(step.select(*keys, "begin_idx", "end_idx", "grows"), "widen")
+        begins = moving.select(*keys, "begin_idx").distinct()
+        before = OrderedRows(begins, keys, ["begin_idx"], rows=bound).max_before(F.col("begin_idx"), "_floor").result()
+        floors = before.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], F.col("begin_idx").alias("_fb"), "_floor")
+        # Each producer belongs to the nearest begin after it; a begin at its own place does not count.
+        marks = begins.select(*keys, F.col("begin_idx").alias("_at"), F.lit(0).alias("_kind"), (-F.col("begin_idx")).alias("_b"), F.lit(None).cast("long").alias("first_use"))
+        reads = first_use.select(*keys, F.col("producer").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_b"), F.col("first_use").cast("long"))
+        placed = OrderedRows(marks.union(reads), keys, ["_at", "_kind"], rows=bound).max_before(F.col("_b"), "_next", desc=True).result()
+        placed = placed.where("_kind = 1 and _next is not null").select(*keys, (-F.col("_next")).alias("begin_idx"), (-F.col("_at")).alias("_back"), "first_use")
+        read = moving.join(placed, keys + ["begin_idx"]).where("first_use <= end_idx")
+        # Going back from the begin, the n-th row read is in the run if it stands n places before it.
+        counted = OrderedRows(read.select(*keys, "begin_idx", "end_idx", "_back"), keys + ["begin_idx", "end_idx"], ["_back"]).row_number("_n").result()
+        chain = counted.where("_n = begin_idx + _back").groupBy(*keys, "begin_idx", "end_idx").agg(F.max("_n").alias("_taken"))
+        near = [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)]
+        step = moving.join(chain, keys + ["begin_idx", "end_idx"], "left").join(floors, reduce(and_, near) & (F.col("begin_idx") == F.col("_fb")))
+        moved = F.col("begin_idx") - F.coalesce("_taken", F.lit(0))
+        step = step.select(*keys, moved.cast(moving.schema["begin_idx"].dataType).alias("begin_idx"), "end_idx", F.coalesce(moved == F.col("_floor"), F.lit(False)).alias("grows"))
+        step = materialise(step, "widen")
         stopped = step.where("not grows").drop("grows")
         done = stopped if done is None else done.unionByName(stopped)
-        moving = step.where("grows").select(*keys, (F.col("begin_idx") - 1).alias("begin_idx"), "end_idx")
+        moving = step.where("grows").drop("grows")
         if moving.isEmpty():
             return done
 
