@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, with_tie
+from tidemark.llm.common import ids_repeat, materialise, with_tie
 
 WINDOW = 2
 
@@ -56,8 +56,8 @@ def chunk_table(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     return long.filter(r"s rlike '[^\\x20\\x09-\\x0D]'").selectExpr("doc_id", "tie", "start", "n", "xxhash64(s) as h", "octet_length(s) as len")
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["_id"]) & (a["tie"] == b["_tie"])
+def _same_rows():
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
 
 
 def removals(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -68,7 +68,7 @@ def removals(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     owners = repeated.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")).agg(F.collect_list(F.struct("h", "len", "first.start", "first.n")).alias("own"))
     text = keyed.select("doc_id", "tie", "text")
     firsts = (
-        text.join(owners, _same(text, owners))
+        text.join(owners, _same_rows())
         .selectExpr("split(text, '\\n', -1) as _l", "array_distinct(own) as own")
         .selectExpr(f"inline(transform(own, c -> struct(c.h as fh, c.len as flen, {_text_of('_l', 'c.start', 'c.n')} as s)))")
     )
@@ -94,14 +94,21 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines, n_chunks_removed, n_removed (lines), text (what is left), one row for each row of ``docs``."""
     keyed = with_tie(docs)
     gone = removals(keyed, window)
-    out = _stripped(keyed.join(gone, _same(keyed, gone), "left"))
+    out = _stripped(keyed.join(gone, _same_rows(), "left"))
     return out.select("doc_id", "n_lines", "n_chunks_removed", "n_removed", F.col("kept_text").alias("text"))
 
 
 def keep(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``; rows of which nothing is left go. All columns stay."""
-    rows = with_tie(docs, whole=True)
-    gone = removals(rows, window)
-    out = _stripped(rows.join(gone, _same(rows, gone), "left"))
+    repeat = ids_repeat(docs)
+    if repeat:
+        rows = with_tie(docs, whole=True, repeat=True)
+        out = _stripped(rows.join(removals(rows, window), _same_rows(), "left"))
+    else:
+        # Texts go through one shuffle, which finding first occurrences uses too; the other columns join them after.
+        keyed = with_tie(docs, repeat=False)
+        cut = _stripped(keyed.join(removals(keyed, window), _same_rows(), "left")).select("doc_id", "n_lines", "n_removed", "kept_text")
+        rest = docs.select(docs["doc_id"].alias("_d"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))
+        out = cut.join(rest.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")))
     left = out.filter("n_removed = 0 or n_removed < n_lines")
     return left.select(*[F.col("kept_text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

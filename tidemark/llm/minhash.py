@@ -160,12 +160,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, side: int =
     tables = materialise(tables, "tables")
     pivots = tables.groupBy("t").agg(F.count("*").alias("times"), F.max(F.struct("support", (-F.col("rep")).alias("minus"), "n")).alias("top")).filter("times > 1")
     pivots = materialise(pivots.selectExpr("t", "-top.minus as pivot", "top.n as np"), "pivots")
-    stars = tables.join(pivots, "t").selectExpr("t", "rep", "n", "pivot", "np").filter("rep <> pivot")
+    stars = tables.join(pivots, "t").filter("rep <> pivot").select("rep", "n", "pivot", "np").distinct()
     stars = materialise(stars, "stars")
     near = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     linked = f"100 * common >= {percent} * (nx + ny - common)"
-    first = stars.filter(near.format("n", "np")).selectExpr("rep as x", "pivot as y").distinct()
-    first = materialise(first, "first")
+    first = stars.filter(near.format("n", "np")).selectExpr("rep as x", "pivot as y")
     involved = stars.selectExpr("explode(array(rep, pivot)) as i").distinct()
     ids = materialise(involved, "involved")
     held = text.join(ids, F.col("doc_id") == F.col("i")).select("doc_id", "text")
@@ -173,11 +172,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, side: int =
     against = _verify(first, sets, "against")
     links = against.filter(linked).selectExpr("x as a", "y as b")
     comps = materialise(components(links), "components")
-    # What is left: members of buckets that hold more than one component.
+    # What is left: members of buckets that hold more than one component, buckets of one pivot taken together.
     named = stars.join(comps.selectExpr("node as rn", "component as rc"), F.col("rep") == F.col("rn"), "left")
-    named = named.selectExpr("t", "rep", "n", "coalesce(rc, rep) as comp")
-    split = named.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
-    open_ = materialise(named.join(split, "t", "left_semi").select("rep", "n", "comp").distinct(), "open")
+    named = named.selectExpr("pivot", "rep", "n", "coalesce(rc, rep) as comp")
+    split = named.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("pivot")
+    open_ = materialise(named.join(split, "pivot", "left_semi").select("rep", "n", "comp").distinct(), "open")
     more = materialise(_prefix_pairs(open_, sets, percent), "more")
     if not more.isEmpty():
         extra = _verify(more, sets, "rest").filter(linked).selectExpr("x as a", "y as b")
@@ -197,4 +196,5 @@ def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     ids = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("_d"))
-    return rows.join(materialise(ids, "kept"), F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
+    # Texts are dealt by id at every size, so that small and large tables run alike.
+    return rows.join(materialise(ids, "kept").hint("merge"), F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("row.*")

@@ -192,7 +192,8 @@ def keep(docs: DataFrame, seed: int = 1) -> DataFrame:
     taken = mix(docs, seed).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"))
     taken = materialise(taken.agg(F.sum("copies").alias("_n"), F.count("*").alias("_k")), "taken")
     rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("_d"), docs["source"].alias("_s"), word_count(docs["text"]).alias("_z"))
-    met = rows.join(taken, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_z") == F.col("_size")))
+    # Texts are dealt by id at every size, so that small and large tables run alike.
+    met = rows.join(taken.hint("merge"), F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_z") == F.col("_size")))
     times = F.col("_n")
     if not taken.filter("_k > 1").isEmpty():  # rows alike share what they are taken
         nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row.text")))
