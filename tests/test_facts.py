@@ -120,3 +120,21 @@ def test_a_long_run_widens_in_few_rounds(spark, monkeypatch):
     got = {(r.begin_idx, r.end_idx) for r in runs.widen_runs(found, uses, ["b"]).collect()}
     assert got == {(0, n), (0, 201)}
     assert tables.count("widen") == 2
+
+
+def test_function_tags_are_read_back(spark, tmp_path):
+    from tidemark.sources import label_store
+
+    functions = spark.createDataFrame([(0, 1, True, False), (0, 2, False, True), (0, 3, False, False)], "module int, fn long, is_extracted boolean, is_dep_fn boolean")
+    status = spark.createDataFrame([(0, 3, 0, "indep")], "module int, fn long, block int, status string")
+    rows = spark.createDataFrame([(0, 3, 0, 7, 1)], "module int, fn long, block int, inst long, level int")
+    label_store.write_labels(functions, status, rows, str(tmp_path / "labels"))
+    assert {r.fn: r.tag for r in label_store.read_function_tags(spark, str(tmp_path / "labels")).collect()} == {1: "extracted", 2: "dep", 3: "indep"}
+
+
+def test_rows_of_no_known_level_are_affected(spark):
+    from tidemark.operators import calls as C
+
+    rows = spark.createDataFrame([(0, 1, 1, 3, 0), (0, 1, 2, 3, 1), (0, 1, 3, 1, None), (0, 1, 4, 2, None), (0, 1, 5, 0, None), (0, 1, 6, 4, None)], "module int, fn long, inst long, level int, arg int")
+    labels = spark.createDataFrame([(0, 1, 0, 4), (0, 1, 1, 1)], "module int, fn long, arg_no int, level int")
+    assert {r.inst for r in C.affected_by_args(rows, labels).collect()} == {1, 4, 5, 6}

@@ -243,9 +243,13 @@ def substitute_summary(summary: DataFrame, resolved: Resolved, actuals: DataFram
 
 
 def affected_by_args(rows: DataFrame, arg_labels: DataFrame) -> DataFrame:
-    """Rows at level ARG with at least one argument that is DEP; ``arg_labels`` (module, fn, arg_no, level)."""
+    """Rows at level ARG with at least one argument that is DEP, and all that are neither ARG nor INDEP.
+
+    ``arg_labels`` (module, fn, arg_no, level).
+    """
     hot = arg_labels.where(F.col("level") == DEP).select("module", "fn", F.col("arg_no").alias("arg"))
-    return rows.where(F.col("level") == ARG).join(hot, ["module", "fn", "arg"], "left_semi")
+    through = rows.where(F.col("level") == ARG).join(hot, ["module", "fn", "arg"], "left_semi")
+    return through.unionByName(rows.where(~F.col("level").isin(ARG, INDEP)).select(*through.columns))
 
 
 def missing_globals(referenced: DataFrame, from_callers: DataFrame, initialisers: DataFrame) -> DataFrame:

@@ -195,8 +195,8 @@ def j10(spark, sf):
 @query(
     "j11_affected_by_args",
     EVENTS
-    + """SELECT module, fn, inst, arg FROM ev e WHERE level = 3 AND EXISTS (
-      SELECT 1 FROM hotblk h WHERE h.fn = e.fn AND h.block % 3 = e.arg)""",
+    + """SELECT module, fn, inst, arg FROM ev e WHERE level NOT IN (1, 3) OR (level = 3 AND EXISTS (
+      SELECT 1 FROM hotblk h WHERE h.fn = e.fn AND h.block % 3 = e.arg))""",
 )
 def j11(spark, sf):
     s = Sessions(spark, sf)

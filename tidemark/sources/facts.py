@@ -7,7 +7,11 @@ from pyspark.sql import types as T
 
 _FN = "module int, fn long"
 SCHEMAS = {
-    "functions": f"{_FN}, name string, fn_type string, is_declaration boolean",
+    "functions": (
+        f"{_FN}, name string, fn_type string, is_declaration boolean, n_args int, is_vararg boolean, "
+        "is_intrinsic boolean, returns_void boolean, no_return boolean"
+    ),
+    "args": f"{_FN}, arg_no int, is_pointer boolean",
     "blocks": f"{_FN}, block int, n_rows long, is_entry boolean, is_exit boolean",
     "block_edges": f"{_FN}, src int, dst int",
     "instructions": (
@@ -19,6 +23,8 @@ SCHEMAS = {
         f"{_FN}, inst string, callee long, alias_of long, fn_type string, type_id string, slot_offset int"
     ),
     "call_args": f"{_FN}, inst string, arg_no int, level int, ref int",
+    "aliases": f"{_FN}, a string, b string, kind string",
+    "models": "module int, name string, target string, level int, arg_deps array<int>, callbacks array<int>, source string",
     "vtable_types": "module int, vtable string, type_id string, offset int, elem_size int, is_constant boolean",
     "vtable_slots": "module int, vtable string, slot_no int, target long, is_pure boolean",
 }
@@ -29,12 +35,14 @@ def schema(name: str) -> T.StructType:
 
 
 def write_facts(facts: dict[str, DataFrame], path: str) -> None:
-    """Write fact tables with their declared columns; a module filter later reads only its folder."""
+    """Write fact tables with their declared columns; a module filter later reads only its folder.
+
+    Rows are dealt by ranges of module, function and row, so a large function is several files.
+    """
     for name, df in facts.items():
         cols = schema(name).fieldNames()
-        df.select(*cols).repartition("module", *[c for c in cols[1:2]]).write.partitionBy("module").parquet(
-            f"{path}/{name}"
-        )
+        order = [c for c in cols if c in ("module", "fn", "inst", "src", "block", "name", "vtable", "a")]
+        df.select(*cols).repartitionByRange(*order).write.partitionBy("module").parquet(f"{path}/{name}")
 
 
 def load_facts(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:

@@ -43,3 +43,8 @@ def read_labels(spark: SparkSession, path: str, instructions: DataFrame) -> Data
             .alias("tag"),
         )
     )
+
+
+def read_function_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(module, fn, tag) of functions: extracted, dep or indep."""
+    return spark.read.schema("module int, fn long, tag string").parquet(f"{path}/functions")
