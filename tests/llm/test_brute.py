@@ -404,3 +404,30 @@ def test_hashes_of_stretches():
         s = hashing.prefix(raw)
         h = hashing.stretch(s, np.array([0, 3, 6]), np.array([3, 6, 9]))
         assert h[0] == h[1] != h[2]
+
+
+def test_op8_counts_are_exact_at_any_size(spark):
+    """Each string has its own count, however many there are: no context that training lacks looks seen."""
+    with np.errstate(over="ignore"):
+        n = 3_000_000
+        seen = np.unique(hashing.mix(np.arange(n, dtype=np.uint64)) & np.uint64((1 << 48) - 1))
+        counts = []
+        for k in mixer.ORDERS:
+            u, c = np.unique(seen & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True)
+            counts.append(np.stack([u, c.astype(np.uint64)], axis=1))
+        m = mixer.Model(counts)
+        contexts = set((seen >> np.uint64(8)).tolist())
+        new = np.array([s for s in hashing.mix(np.arange(n, n + 500, dtype=np.uint64)) & np.uint64((1 << 48) - 1) if int(s) >> 8 not in contexts])
+        _, gate, node, _ = next(m.inputs(new, False))
+        deep = gate - node * 4  # of orders 3, 4 and 5; some contexts of order 3 were met, hardly any of order 4
+        assert (deep <= 1).mean() > 0.99
+    rows = corpus()
+    dealt = spark.createDataFrame([(k % 3, k % 5 == 0, t) for k, (_, t, *_) in enumerate(rows)], "chunk long, held_out boolean, text string").repartition(4, "chunk").sortWithinPartitions("chunk")
+    got, want = Counter(), Counter()
+    for r in dealt.mapInArrow(mixer._ask(7), "part long, chunk long, keys binary, times binary").collect():
+        got.update(dict(zip(mixer._unpack(r["keys"], mixer.KEY).tolist(), mixer._unpack(r["times"], mixer.TIMES).tolist())))
+    for k, (_, t, *_) in enumerate(rows):
+        if k % 5:
+            raw = t.encode()
+            want.update(mixer.strings(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist())
+    assert +got == want

@@ -1,20 +1,22 @@
 """LM scoring by online logistic context mixing.
 
-A text, A-Z lower-cased as for the base score, is predicted bit by bit, eight bits to a byte and a zero byte as its end. For each order k of ``ORDERS`` a predictor knows, in a slot
-named by a hash of the last k bytes and of the byte's bits so far, how many zeros and ones followed. Their predictions, as log odds, are combined by
+A text, A-Z lower-cased as for the base score, is predicted bit by bit, eight bits to a byte and a zero byte as its end. For each order k of ``ORDERS`` a predictor knows, for
+the last k bytes and the byte's bits so far, how many zeros and ones followed. Their predictions, as log odds, are combined by
 a weight vector that a gate selects (the bits so far, and how many orders have seen the context), and the result is
 refined by an adaptive map from (gate, log odds) to observed frequencies. The sum of the costs of all bits is the text's score.
 
 Training, over all documents whose crc32(doc_id) mod 5 is not 1, texts whole:
 
-* Counts: every task counts its distinct (k + 1)-byte strings, so each bit of each position counts; counts of slots add up, so tasks send their tables in
-  stripes, each stripe summed by key. The tables' size follows the training bytes, from 2^``LEAST_BITS`` to 2^``MOST_BITS``
-  slots an order: that bound is also what a worker holds, and what is sent to it.
-* Weights and map: each task goes once, online, through its distinct strings: it predicts each bit with the bit's own occurrence taken
-  out of the counts, adds the outcome to the map's bucket and moves the weights. Weights are averaged over the tasks by
+* Counts: exact, by string, with no ceiling. Texts are dealt into chunks of about ``CHUNK`` bytes; each chunk sends its distinct (k + 1)-byte strings of the
+  longest order, with their times in training, to one of ``parts`` parts, by the last three bytes before the newest. A part so holds all strings
+  of a context of order 3 and up, and counts these orders by itself; the number of parts follows the bytes. Strings of orders 1 and 2, of which
+  there are 2^24 at most whatever the input, are counted once and go to every task.
+* Weights and map: each part goes once, online, through its distinct strings: it predicts each bit with the bit's own occurrence taken
+  out of the counts, adds the outcome to the map's bucket and moves the weights. Weights are averaged over the parts by
   bytes seen, maps are added up.
 
-With tables, weights and map fixed, a bit's cost hangs on the last bytes alone. So a task scores each distinct string of its batch once and adds up
+With counts, weights and map fixed, a bit's cost hangs on the last bytes alone. So each part costs its distinct strings once, sends every chunk the
+costs of the strings it asked for, and the chunk meets its texts and adds up
 over positions. Base scores are add-half unigram word scores: the ``HEAD`` most frequent words go to every task, a bounded table; counts of all other
 words reach the documents by a join on the word's hash (64 bits).
 
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,11 @@ from tidemark.llm import hashing as H
 from tidemark.llm.common import materialise, slim, text_batches, text_bytes
 
 ORDERS = (1, 2, 3, 4, 5)
-LEAST_BITS, MOST_BITS, STRIPE = 18, 21, 16384
+#: The highest order whose strings every task holds; parts go by the context of the next order.
+LOW = 2
+CHUNK, LEAST_PARTS = 16_000_000, 24
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
-RATE, BATCH = 0.001, 8192
+RATE, STEP, BATCH = 0.001, 0.3, 8192
 CLIP = 8.0
 SLICE = 4_000_000
 TINY = 1e-4
@@ -71,46 +76,50 @@ def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (8 * (k + 1))) - 1)
 
 
-def _slots(s: np.ndarray, k: int, bit: int, bits: int) -> np.ndarray:
-    """Slots of order k for bit number ``bit`` (0 the highest) of the newest byte of the strings."""
-    context = (s & _mask(k)) >> np.uint64(8)
-    node = ((s & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - bit)
-    return (H.mix((context * np.uint64(512) + node) * np.uint64(8) + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _bit(s: np.ndarray, bit: int) -> np.ndarray:
     return ((s >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
 
 
 class Model:
-    """Counts (orders x slots x 2), weights (gates x inputs) and map (bits so far x buckets x 2): sizes are fixed."""
+    """Counts (for each order, rows of a (k + 1)-byte string and its times), weights (gates x inputs) and map (bits so far x buckets x 2)."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.counts, self.bits = counts, counts.shape[1].bit_length() - 1
+    def __init__(self, counts, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
+        self.counts = []
+        for c in counts:
+            u, n = _fold(c[:, 0].astype(np.uint64), c[:, 1].astype(np.int64))
+            self.counts.append((u, np.concatenate([[0], np.cumsum(n)])))
         self.weights = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
         self.map = np.zeros((256, BUCKETS, 2)) if seen is None else seen
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) * 2 * CLIP / (BUCKETS - 1) - CLIP)))
         self._known = (self.map[:, :, 1] + 4 * centre) / (self.map.sum(axis=2) + 4)
 
-    def inputs(self, s: np.ndarray, bit: int, train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(log odds of a one from each order, gate, bits so far, the bit). ``train``: the bit's own occurrence is taken out of the counts."""
-        x = np.empty((len(s), len(ORDERS) + 1), np.float32)
-        x[:, -1] = 0.3
-        deep = np.zeros(len(s), np.int64)
-        one = _bit(s, bit)
-        for i, k in enumerate(ORDERS):
-            c = self.counts[i][_slots(s, k, bit, self.bits)].astype(np.float32)
-            zeros, ones = c[:, 0], c[:, 1]
-            if train:
-                zeros = np.maximum(zeros - (1 - one), 0)
-                ones = np.maximum(ones - one, 0)
-            n = zeros + ones
-            x[:, i] = np.log((ones + 0.05) / (zeros + 0.05)) * (n / (n + 0.5))
-            if i >= len(ORDERS) - 3:
-                deep += n > 0
-        np.clip(x, -CLIP, CLIP, out=x)
-        node = (((s & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - bit)).astype(np.int64)
-        return x, node * 4 + deep, node, one
+    def inputs(self, s: np.ndarray, train: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the eight bits: (log odds of a one from each order, gate, bits so far, the bit). ``train``: the bit's own occurrence is taken out of the counts."""
+        orders = []
+        for k, (u, upto) in zip(ORDERS, self.counts):
+            q, at = np.unique(s & _mask(k), return_inverse=True)
+            start = (q >> np.uint64(8)) << np.uint64(8)
+            orders.append([u, upto, q, at.astype(np.int32), np.searchsorted(u, start), np.searchsorted(u, start + np.uint64(256))])
+        for bit in range(8):
+            x = np.empty((len(s), len(ORDERS) + 1), np.float32)
+            x[:, -1] = 0.3
+            deep = np.zeros(len(s), np.int64)
+            for i, o in enumerate(orders):
+                u, upto, q, at, low, high = o
+                left = np.uint64(8 - bit)
+                mid = np.searchsorted(u, ((q >> left) << left) | np.uint64(1 << (7 - bit)))
+                one = _bit(q, bit)
+                zeros, ones = upto[mid] - upto[low], upto[high] - upto[mid]
+                o[4], o[5] = np.where(one, mid, low), np.where(one, high, mid)
+                if train:
+                    zeros = np.maximum(zeros - (1 - one), 0)
+                    ones = np.maximum(ones - one, 0)
+                n = zeros + ones
+                x[:, i] = np.clip(np.log((ones + 0.05) / (zeros + 0.05)) * (n / (n + 0.5)), -CLIP, CLIP).astype(np.float32)[at]
+                if i >= len(ORDERS) - 3:
+                    deep += (n > 0)[at]
+            node = (((s & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - bit)).astype(np.int64)
+            yield x, node * 4 + deep, node, _bit(s, bit)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -CLIP, CLIP)
@@ -126,124 +135,187 @@ class Model:
     def cost(self, s: np.ndarray) -> np.ndarray:
         """log10 of the probability of the newest byte of each string."""
         out = np.zeros(len(s))
-        for a in range(0, len(s), BATCH):
-            part = s[a : a + BATCH]
-            for bit in range(8):
-                x, gate, node, one = self.inputs(part, bit, False)
-                p = self.refined(self.mixed(x, gate), node)
-                out[a : a + BATCH] += np.log10(np.where(one == 1, p, 1 - p))
+        for x, gate, node, one in self.inputs(s, False):
+            for a in range(0, len(s), BATCH):
+                to = slice(a, a + BATCH)
+                p = self.refined(self.mixed(x[to], gate[to]), node[to])
+                out[to] += np.log10(np.where(one[to] == 1, p, 1 - p))
         return out
 
     def learn(self, s: np.ndarray, times: np.ndarray) -> None:
-        """One online pass over strings, each standing ``times`` times: predict, count in the map, move the weights."""
-        for a in range(0, len(s), BATCH):
-            part, w = s[a : a + BATCH], times[a : a + BATCH].astype(np.float32)
-            for bit in range(8):
-                x, gate, node, one = self.inputs(part, bit, True)
+        """One online pass over strings, each standing ``times`` times: predict, count in the map, move the weights. Bits share neither weights nor buckets, so
+        they go one after the other."""
+        for xs, gates, nodes, bits in self.inputs(s, True):
+            for a in range(0, len(s), BATCH):
+                to = slice(a, a + BATCH)
+                x, gate, node, one, w = xs[to], gates[to], nodes[to], bits[to], times[to].astype(np.float64)
                 z = self.mixed(x, gate)
                 at = np.rint((z + CLIP) * ((BUCKETS - 1) / (2 * CLIP))).astype(np.int64)
                 self.map += np.bincount((node * BUCKETS + at) * 2 + one, w, self.map.size).reshape(self.map.shape)
                 off = (one - 1 / (1 + np.exp(-z))) * w
                 step = np.stack([np.bincount(gate, off * x[:, i], GATES) for i in range(x.shape[1])], axis=1)
-                mass = np.bincount(gate, w, GATES)
-                self.weights += (RATE * step / np.sqrt(np.maximum(mass, 1))[:, None]).astype(np.float32)
+                mass = np.maximum(np.bincount(gate, w, GATES), 1)
+                # Steps grow with the root of the mass up to STEP of the mean slope, so that a very common string doesn't throw the weights about.
+                self.weights += (step / np.maximum(np.sqrt(mass) / RATE, mass / STEP)[:, None]).astype(np.float32)
                 np.clip(self.weights, -1, 3, out=self.weights)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(distinct strings, times) of the texts, folded until there are about ``most``."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _fold(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct strings in order, sums of ``n``)."""
+    order = np.argsort(s, kind="stable")
+    s, n = s[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.add.reduceat(n, first) if len(s) else n
 
-    def fold() -> tuple[np.ndarray, np.ndarray]:
-        s, n = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(s, kind="stable")
-        s, n = s[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        return s[first], np.add.reduceat(n, first)
-
-    for batch in text_batches(batches, SLICE):
-        s, _ = strings(*text_bytes(batch.column(0)))
-        held.append(np.unique(s, return_counts=True))
-        if sum(len(x) for x, _ in held) > most:
-            held = [fold()]
-            if len(held[0][0]) > most // 2:
-                yield held.pop()
-    if held:
-        yield fold()
+
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, lowest bytes first, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes(), 1)
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+KEY, TIMES = ORDERS[-1] + 1, 4
 
 
-def _count(bits: int):
+def _deal(limit: int):
+    """Numbers rows, and deals them into chunks of about ``limit`` bytes in the order they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, rows, size = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            upto = size + np.cumsum(np.asarray(pc.binary_length(batch.column(2))).astype(np.int64) + 1)
+            row = base + rows + np.arange(batch.num_rows)
+            chunk = base + np.concatenate([[size], upto[:-1]])[: batch.num_rows] // limit
+            if batch.num_rows:
+                rows, size = rows + batch.num_rows, int(upto[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(chunk), *batch.columns], names=["row", "chunk", "doc_id", "held_out", "text"])
+
+    return run
+
+
+def _ask(parts: int):
+    """For each chunk and part: the chunk's distinct strings and how often each stands in its training texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(ORDERS), 1 << (bits + 1)), np.int32)
-        some = False
+        now: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            return _fold(*(np.concatenate(x) for x in zip(*held)))
+
+        def sent() -> pa.RecordBatch:
+            s, n = folded()
+            part = (H.mix((s >> np.uint64(8)) & _mask(LOW)) % np.uint64(parts)).astype(np.int64)
+            # Strings of one context stand together, which compresses best.
+            order = np.lexsort([s >> np.uint64(32), s & np.uint64(0xFFFFFFFF), part])
+            s, n, part = s[order], n[order].astype(np.uint32), part[order]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            keys = [_pack(s[a:b], KEY) for a, b in zip(cut, cut[1:])]
+            times = [_pack(n[a:b], TIMES) for a, b in zip(cut, cut[1:])]
+            ids = part[cut[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), now)), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["part", "chunk", "keys", "times"])
+
         with np.errstate(over="ignore"):
-            for s, n in _distinct(batches):
-                some = True
-                for i in range(len(ORDERS) - 1, -1, -1):  # strings of a lower order are fewer: fold as the order falls
-                    k = ORDERS[i]
-                    s = s & _mask(k)
-                    order = np.argsort(s, kind="stable")
-                    s, n = s[order], n[order]
-                    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                    s, n = s[first], np.add.reduceat(n, first)
-                    for bit in range(8):
-                        np.add.at(table[i], _slots(s, k, bit, bits) * 2 + _bit(s, bit), n.astype(np.int32))
-        if some:
-            rows = table.reshape(-1, STRIPE)
-            used = np.flatnonzero(rows.any(axis=1))
-            for a in range(0, len(used), 16):
-                part = used[a : a + 16]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([zlib.compress(rows[r].tobytes(), 1) for r in part], pa.binary())], names=["stripe", "data"])
+            for batch in text_batches(batches, SLICE):
+                chunks = batch.column(0).to_numpy()
+                cut = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1], [True]]))
+                for a, b in zip(cut, cut[1:]):
+                    if held and now != chunks[a]:
+                        yield sent()
+                        held = []
+                    now = int(chunks[a])
+                    s, ends = strings(*text_bytes(batch.column(2).slice(a, b - a)))
+                    trained = ~np.asarray(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), bool)
+                    u, n = np.unique((s << np.uint64(1)) | np.repeat(trained, np.diff(ends)).astype(np.uint64), return_counts=True)
+                    held.append((u >> np.uint64(1), n * (u & np.uint64(1)).astype(np.int64)))
+                    if sum(len(x) for x, _ in held) > 4_000_000:
+                        held = [folded()]
+            if held:
+                yield sent()
 
     return run
 
 
-def _add(stripe: pa.Table) -> pa.Table:
-    total = np.zeros(STRIPE, np.int64)
-    for x in stripe["data"]:
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
-    # Half precision is enough for odds; a slot's two counts shrink alike where they would not fit.
-    two = total.reshape(-1, 2)
-    two = two / np.maximum(1, two.max(axis=1, keepdims=True) / 60000)
-    return pa.table({"stripe": stripe["stripe"][:1], "data": pa.array([zlib.compress(two.astype(np.float16).tobytes(), 1)], pa.binary())})
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of order ``LOW`` and their times in training."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        return _fold(*(np.concatenate(x) for x in zip(*held)))
 
-def _learn(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(counts.value)
-        seen = 0
+    for batch in batches:
+        for keys, times in zip(batch.column(0), batch.column(1)):
+            n = _unpack(times.as_py(), TIMES).astype(np.int64)
+            held.append(((_unpack(keys.as_py(), KEY) & _mask(LOW))[n > 0], n[n > 0]))
+            if sum(len(x) for x, _ in held) > 4_000_000:
+                held = [folded()]
+    if held:
+        s, n = folded()
+        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+
+def _counts(few, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Counts of each order: low ones from ``few``, the others from a part's strings."""
+    out = []
+    for k in ORDERS:
+        u, c = few if k <= LOW else (s, n)
+        u, c = _fold(u & _mask(k), c)
+        out.append(np.stack([u, c.astype(np.uint64)], axis=1))
+    return out
+
+
+def _learn(few):
+    def run(part: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            for s, n in _distinct(batches):
-                order = np.argsort(H.mix(s))  # strings come sorted; online learning wants them in no order
-                m.learn(s[order], n[order])
-                seen += int(n.sum())
-        if seen:
-            both = np.concatenate([m.weights.astype(np.float64).ravel() * seen, m.map.ravel()])
-            used = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(both[used]), pa.array(np.full(len(used), float(seen)))], names=["at", "x", "seen"])
+            s, n = _fold(*(np.concatenate([_unpack(x.as_py(), w) for x in part[c]]) for c, w in (("keys", KEY), ("times", TIMES))))
+            s, n = s[n > 0], n[n > 0].astype(np.int64)
+            m = Model(_counts(few.value, s, n))
+            order = np.argsort(H.mix(s))  # strings come sorted; online learning wants them in no order
+            m.learn(s[order], n[order])
+        seen = float(n.sum())
+        both = np.concatenate([m.weights.astype(np.float64).ravel() * seen, m.map.ravel(), [seen]])
+        used = np.flatnonzero(both) if seen else np.zeros(0, np.int64)
+        return pa.table({"at": pa.array(used), "x": pa.array(both[used])})
 
     return run
 
 
-def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, weights, map) of ``texts`` (text), all of them."""
-    spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 8)), LEAST_BITS, MOST_BITS))
-    stripes = texts.mapInArrow(_count(bits), "stripe int, data binary").groupBy("stripe").applyInArrow(_add, "stripe int, data binary")
-    counts = np.zeros(len(ORDERS) << (bits + 1), np.float16).reshape(-1, STRIPE)
-    for r in materialise(stripes, "counts").toLocalIterator():
-        counts[r.stripe] = np.frombuffer(zlib.decompress(r.data), np.float16)
-    counts = counts.reshape(len(ORDERS), 1 << bits, 2)
-    sent = spark.sparkContext.broadcast(counts)
-    start = Model(np.zeros((len(ORDERS), 2, 2), np.float16))
-    total = np.zeros(start.weights.size + start.map.size)
-    seen = 0.0
+def _answer(few, weights: np.ndarray, seen: np.ndarray):
+    """For each chunk that asked a part: its strings there and their costs."""
+
+    def run(part: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            asked = [_unpack(x.as_py(), KEY) for x in part["keys"]]
+            u, n = _fold(np.concatenate(asked), np.concatenate([_unpack(x.as_py(), TIMES) for x in part["times"]]).astype(np.int64))
+            cost = Model(_counts(few.value, u[n > 0], n[n > 0]), weights, seen).cost(u).astype(np.float32)
+            return pa.table({"chunk": part["chunk"], "keys": part["keys"], "costs": pa.array([_pack(cost[np.searchsorted(u, s)], 4) for s in asked], pa.binary())})
+
+    return run
+
+
+def costs(dealt: DataFrame) -> DataFrame:
+    """(chunk, keys, costs) for the chunks of ``dealt`` (chunk, held_out, text): trained on rows that are not held out."""
+    spark = dealt.sparkSession
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // CHUNK))
+    asked = materialise(dealt.select("chunk", "held_out", "text").mapInArrow(_ask(parts), "part long, chunk long, keys binary, times binary"), "asked")
+    # No more rows than there are strings of three bytes.
+    low = asked.select("keys", "times").mapInArrow(_few, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
+    few = spark.sparkContext.broadcast((low["s"].to_numpy().view(np.uint64), low["n"].to_numpy()))
+    start = Model([np.zeros((0, 2), np.uint64)] * len(ORDERS))
+    total = np.zeros(start.weights.size + start.map.size + 1)
     # As many sums as the model has weights and buckets.
-    for r in texts.mapInArrow(_learn(sent), "at long, x double, seen double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("seen").alias("seen")).collect():
-        total[r.at], seen = r.x, max(seen, r.seen)
+    for r in asked.groupBy("part").applyInArrow(_learn(few), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        total[r.at] = r.x
+    seen = total[-1]
     weights = (total[: start.weights.size] / seen).astype(np.float32).reshape(start.weights.shape) if seen else start.weights
-    return sent, weights, total[start.weights.size :].reshape(start.map.shape)
+    return asked.groupBy("part").applyInArrow(_answer(few, weights, total[start.weights.size : -1].reshape(start.map.shape)), "chunk long, keys binary, costs binary")
 
 
 def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,30 +332,22 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
-def _score(counts, rest, head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(counts.value, *rest)
+def _score(head):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         heads, value = head.value
-        known, costs = np.zeros(0, np.uint64), np.zeros(0)
+        out = []
         with np.errstate(over="ignore"):
-            for batch in text_batches(batches, SLICE):
-                raw, off = text_bytes(batch.column(2))
+            known = np.concatenate([_unpack(x.as_py(), KEY) for x in answers["keys"]])
+            costs = np.concatenate([_unpack(x.as_py(), 4).astype(np.uint32).view(np.float32) for x in answers["costs"]])
+            order = np.argsort(known)
+            known, costs = known[order], costs[order].astype(np.float64)
+            for batch in text_batches(texts.to_batches(), SLICE):
+                raw, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
                 docs = batch.num_rows
                 s, ends = strings(raw, off)
                 coded = pc.dictionary_encode(pa.array(s))
                 u, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-                # Costs of strings met before in this task are at hand, of about four million of them.
-                at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
-                old = known[at] == u if len(known) else np.zeros(len(u), bool)
-                cost = np.zeros(len(u))
-                cost[old] = costs[at[old]]
-                cost[~old] = m.cost(u[~old])
-                if len(known) + (~old).sum() > 4_000_000:
-                    known, costs, old = np.zeros(0, np.uint64), np.zeros(0), np.zeros(len(u), bool)
-                known, costs = np.concatenate([known, u[~old]]), np.concatenate([costs, cost[~old]])
-                order = np.argsort(known, kind="stable")
-                known, costs = known[order], costs[order]
-                score = np.add.reduceat(cost[back], ends[:-1])
+                score = np.add.reduceat(costs[np.searchsorted(known, u)][back], ends[:-1])
                 h, text = _words(raw, off)
                 at = np.minimum(np.searchsorted(heads, h), max(len(heads) - 1, 0))
                 hit = heads[at] == h if len(heads) else np.zeros(len(h), bool)
@@ -298,8 +362,9 @@ def _score(counts, rest, head):
                 upto = np.concatenate([[0], np.cumsum(np.bincount(t[first], minlength=docs))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(upto, pa.array(c)) for c in (x[first].view(np.int64), times.astype(np.int64))]
                 n = np.bincount(text, minlength=docs) + 1
-                cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), *lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"])
+                cols = [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")], pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), *lists]
+                out.append(pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -308,6 +373,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of ``docs``."""
     spark = docs.sparkSession
     rows = slim(docs, "doc_id", "text").select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 1"), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialise(rows.mapInArrow(_deal(CHUNK), "row long, chunk long, doc_id long, held_out boolean, text string"), "rows")
     training = rows.filter("not held_out").select("text")
     n_docs = training.count()
     vocabulary = materialise(training.mapInArrow(_vocabulary, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
@@ -320,10 +386,8 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     heads, often = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy().astype(np.float64)
     order = np.argsort(heads)
     known = spark.sparkContext.broadcast((heads[order], value(often[order])))
-    counts, *rest = train(training)
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<long>"
-    scored = rows.mapInArrow(_score(counts, rest, known), schema)
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<long>"
+    scored = materialise(rows.groupBy("chunk").cogroup(costs(rows).groupBy("chunk")).applyInArrow(_score(known), schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     met = rare.join(vocabulary, rare.words == vocabulary.h, "left")
     tail = met.groupBy("row").agg(
