@@ -431,3 +431,16 @@ def test_op8_counts_are_exact_at_any_size(spark):
             raw = t.encode()
             want.update(mixer.strings(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist())
     assert +got == want
+
+
+def test_op4_guess_after_base_names():
+    """Strong values after the words of the base rule, whatever signs they hold, are spans; the base spans stay as they are."""
+    for text, value in (
+        ("password: P@55w0rd!xyzQ9", "P@55w0rd!xyzQ9"), ("secret = '$3cr3t!K#2024zq'", "$3cr3t!K#2024zq"), ("token=#aB3$kk29!fLQ", "#aB3$kk29!fLQ"),
+        ("the password is kR7vQ2mZx9Lw", "kR7vQ2mZx9Lw"), ('{"api_key": "A1b2C3d4E5f6G7h8"}', "A1b2C3d4E5f6G7h8"), ("the secret is password: P@55w0rd!xyzQ9", "P@55w0rd!xyzQ9"),
+    ):
+        spans, cost = secrets.scan_text(text)
+        end = text.index(value) + len(value)
+        assert [(k, e) for _, k, e, _ in spans if k == 3] == [(3, end)], text
+        assert math.isclose(cost, secrets.guess_cost(value)[0]), text
+    assert [k for _, k, _, _ in secrets.scan_text("password = changeme and token: password")[0]] == [0, 0]

@@ -2,7 +2,7 @@
 
 The base rule finds three kinds of spans in every whole text, leftmost and non-overlapping within a kind: ``assign`` (a
 credential name, a sign, a value of six characters or more), ``access`` (access key ids) and ``hex`` (runs of 24 hex digits
-or more). The method adds ``guess`` spans: values that follow a wider set of credential words and would take an
+or more). The method adds ``guess`` spans: values of any signs that follow the same or further credential words and would take an
 attacker ``10 ** LEAST`` guesses or more. The cost of a value is the least over all ways to cut it into dictionary
 words, dates, repeats, keyboard walks, sequences and brute-forced characters, found by dynamic programming from left to right; the
 longest piece looked back to is bounded but for repeats and walks, which are found as runs, so the work is linear in the value.
@@ -29,9 +29,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Words after which a value is a credential, beyond those of ``assign``.
-CONTEXT = re.compile(r"""(pwd|passphrase|passcode|credentials?|bearer|authorization|access_?key|private_?key|signing_?key|session_?id)["']?\x20*(?:[:=]|\bis\b)?\x20*["']?([^\s"'<>]{8,})""", re.I | re.A)
-_CONTEXT = (b"pwd", b"passphrase", b"passcode", b"credential", b"bearer", b"authorization", b"accesskey", b"access_key", b"privatekey", b"private_key", b"signingkey", b"signing_key", b"sessionid", b"session_id")
+#: Words after which a value is a credential: those of ``assign``, with a sign or ``is``, and others.
+_BASE_WORDS = "password|passwd|secret|token|api_?key"
+_MORE_WORDS = "pwd|passphrase|passcode|credentials?|bearer|authorization|access_?key|private_?key|signing_?key|session_?id"
+CONTEXT = re.compile(rf"""(?:(?:{_BASE_WORDS})["']?\x20*(?:[:=]|\bis\b)|(?:{_MORE_WORDS})["']?\x20*(?:[:=]|\bis\b)?)\x20*["']?([^\s"'<>]{{8,}})""", re.I | re.A)
+#: A value that ends in a credential word and its sign, whose own value comes next.
+_NEXT = re.compile(rf"""(?:{_BASE_WORDS}|{_MORE_WORDS})[:=]?$""", re.I | re.A)
+_CONTEXT = _NAMES + (b"pwd", b"passphrase", b"passcode", b"credential", b"bearer", b"authorization", b"accesskey", b"access_key", b"privatekey", b"private_key", b"signingkey", b"signing_key", b"sessionid", b"session_id")
 LEAST = 10.0
 
 # Words that guessers try first, most common first.
@@ -147,10 +151,14 @@ def scan_text(text: str, least: float = LEAST) -> tuple[list[tuple[int, int, int
         spans += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
     if any(k in raw for k in _CONTEXT):
-        for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[2])[0]
+        m = CONTEXT.search(text)
+        while m:
+            cost, at = guess_cost(m[1])[0], m.end()
             if cost >= least:
                 spans.append((m.start(), 3, m.end(), cost))
+            elif after := _NEXT.search(text, max(m.start(1), m.end() - 16), m.end()):
+                at = after.start()
+            m = CONTEXT.search(text, at)
     costs = [s[3] for s in spans if s[3] is not None]
     return sorted(spans, key=lambda s: s[:3]), max(costs, default=None)
 
