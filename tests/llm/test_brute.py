@@ -444,3 +444,13 @@ def test_op4_guess_after_base_names():
         assert [(k, e) for _, k, e, _ in spans if k == 3] == [(3, end)], text
         assert math.isclose(cost, secrets.guess_cost(value)[0]), text
     assert [k for _, k, _, _ in secrets.scan_text("password = changeme and token: password")[0]] == [0, 0]
+
+
+def test_op4_prose_is_clean():
+    for text in (
+        "Bring credentials verification forms.", "The authorization requirements were met", "a bearer representative's duty, credential-holding members", "passcode RECOVERY/RESTORATION: later",
+        "secretariat-general and tokenization's history", "credentialization99 of things",
+    ):
+        assert secrets.scan_text(text) == ([], None), text
+    for text in ("Authorization: Bearer kR7vQ2mZx9LwAb", "pwd x9$Kq2!vLm0Zt7", "bearer qZhBtDuWvNcKxJmP", "passphrase is correcthorsebattery", "credentials: verificationletters"):
+        assert [k for _, k, _, _ in secrets.scan_text(text)[0]] == [3], text

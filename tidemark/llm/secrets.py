@@ -29,10 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Words after which a value is a credential: those of ``assign``, with a sign or ``is``, and others.
+#: A plain word, as prose has it: letters in one case or with a capital first, parts joined by - / or ', and the signs around it.
+_PLAIN = r"""[-/("']*(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-/'](?:[A-Za-z]?[a-z]+|[A-Z]+))*[\]).,:;!?"']*(?:\s|$)"""
+#: Words after which a value is a credential: those of ``assign``, with a sign or ``is``, and others, with either or before what is no plain word.
 _BASE_WORDS = "password|passwd|secret|token|api_?key"
 _MORE_WORDS = "pwd|passphrase|passcode|credentials?|bearer|authorization|access_?key|private_?key|signing_?key|session_?id"
-CONTEXT = re.compile(rf"""(?:(?:{_BASE_WORDS})["']?\x20*(?:[:=]|\bis\b)|(?:{_MORE_WORDS})["']?\x20*(?:[:=]|\bis\b)?)\x20*["']?([^\s"'<>]{{8,}})""", re.I | re.A)
+CONTEXT = re.compile(
+    rf"""(?:(?i:{_BASE_WORDS}|{_MORE_WORDS})["']?\x20*(?:[:=]|\b(?i:is)\b)\x20*|(?i:{_MORE_WORDS})\b["']?\x20*(?![:=]|{_PLAIN}))["']?([^\s"'<>]{{8,}})""", re.A
+)
 #: A value that ends in a credential word and its sign, whose own value comes next.
 _NEXT = re.compile(rf"""(?:{_BASE_WORDS}|{_MORE_WORDS})[:=]?$""", re.I | re.A)
 _CONTEXT = _NAMES + (b"pwd", b"passphrase", b"passcode", b"credential", b"bearer", b"authorization", b"accesskey", b"access_key", b"privatekey", b"private_key", b"signingkey", b"signing_key", b"sessionid", b"session_id")
