@@ -454,3 +454,18 @@ def test_op4_prose_is_clean():
         assert secrets.scan_text(text) == ([], None), text
     for text in ("Authorization: Bearer kR7vQ2mZx9LwAb", "pwd x9$Kq2!vLm0Zt7", "bearer qZhBtDuWvNcKxJmP", "passphrase is correcthorsebattery", "credentials: verificationletters"):
         assert [k for _, k, _, _ in secrets.scan_text(text)[0]] == [3], text
+
+
+def test_op7_licenses_to_their_ends():
+    def plain(label):
+        t = licenses.TEMPLATES[label].replace("<<var:2-20>>", "the authors").replace("<<var:1-5>>", "this file").replace("<<var:1-20>>", "X")
+        return re.sub(r"<<[^>]*>>", "", t)
+
+    scan = licenses.scanner({}, licenses.TEMPLATES)
+    for label, last in (("BSD-2-Clause", "possibility of such damage"), ("BSD-3-Clause", "possibility of such damage"), ("Apache-2.0", "limitations under the license")):
+        text = plain(label)
+        labels, score = scan(text)[5:7]
+        assert label in labels.split(",") and score == 1 and lower(text).rstrip(". ").endswith(last)
+        changed = re.sub(last.split()[-1] + r"\W*$", "nothing", text, flags=re.I)
+        assert changed != text and label not in scan(changed)[5].split(",")
+    assert scan(plain("BSD-3-Clause"))[5] == "BSD-3-Clause" and scan(plain("BSD-2-Clause"))[5] == "BSD-2-Clause"

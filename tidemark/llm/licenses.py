@@ -27,6 +27,19 @@ from tidemark.llm.common import slim, text_batches
 # The phrases of the base rule.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+# What the BSD licenses share, before and after their further clauses.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<var:0-1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. <<var:0-1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution.
+        """
+_BSD_END = """
+        THIS SOFTWARE IS PROVIDED BY <<var:2-20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:2-20>> BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 # Public license wordings. Capitals, punctuation and line breaks don't matter.
 TEMPLATES = {
     "MIT": """<<optional>>The MIT License <<optional>>MIT<</optional>><</optional>> <<optional>>Copyright <<var:0-30>><</optional>>
@@ -46,18 +59,16 @@ TEMPLATES = {
         OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:1-10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
         DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
         TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: <<var:0-1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
-        following disclaimer. <<var:0-1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
-        the following disclaimer in the documentation and/or other materials provided with the distribution.
-        <<optional>><<var:0-1>> Neither the name of <<var:1-20>> nor the names of its contributors may be used to endorse or promote products derived
-        from this software without specific prior written permission.<</optional>>
-        THIS SOFTWARE IS PROVIDED BY <<var:2-20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
-        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD
+    + """<<var:0-1>> Neither the name of <<var:1-20>> nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission."""
+    + _BSD_END,
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var:1-5>> except in compliance with the License.
         You may obtain a copy of the License at <<optional>>http://www.apache.org/licenses/LICENSE-2.0<</optional>>
         <<optional>>https://www.apache.org/licenses/LICENSE-2.0<</optional>> Unless required by applicable law or agreed to in writing, software
-        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
     "GPL-3.0-notice": """under the <<optional>>terms of the<</optional>> GNU General Public License <<optional>>as published by the Free Software
         Foundation; either<</optional>> version 3 <<optional>>of the License<</optional>>""",
     "MIT-notice": """<<optional>>released<</optional>> <<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> MIT license""",
