@@ -9,10 +9,12 @@ from tests.check import compare, connect
 from tidemark.llm.queries import QUERIES, SQL
 
 ROWS = {name: "embeddings" if name.startswith("op6_") else "documents" for name in QUERIES}
+#: Queries that return other than a row for each row.
+OTHER = {"op12_block_whitening", "op13_spelling_tiles"}
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(queries())
 
 
@@ -24,7 +26,7 @@ def test_query(spark, sf_dir, name):
         assert ok, message
     else:
         n = df.count()
-    assert n == spark.read.parquet(f"{sf_dir}/{ROWS[name]}.parquet").count()
+    assert n > 0 if name in OTHER else n == spark.read.parquet(f"{sf_dir}/{ROWS[name]}.parquet").count()
 
 
 def test_pipeline_runs(spark, sf_dir):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed, licenses, line_chunks, minhash, mixer, mixing, pieces, quality, secrets, suffix
+from tidemark.llm import embed, licenses, line_chunks, minhash, mixer, mixing, pieces, pii, quality, secrets, spelling, suffix, whitening
 from tidemark.llm.common import table
 from tidemark.llm.oracles import OP10
 
@@ -73,3 +73,22 @@ def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@query
+def op11_span_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir))
+    n = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    named = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = f"filter(spans, s -> s.kind in {pii.KINDS})"
+    return found.select("doc_id", *n, F.expr(f"sha2({named.format(base)}, 256)").alias("base_sha256"), F.expr(named.format("spans")).alias("spans"))
+
+
+@query
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir))
