@@ -313,6 +313,32 @@ def test_op8_mixer(spark):
     assert sum(got[i].score for i in got if held[i]) > 0.6 * by_byte
 
 
+def test_op8_mix_beats_each_order(spark):
+    """Held-out bits of the mix against those of each order's own predictor, from the same counts, in plain Python."""
+    rows = corpus()
+    got = {r.doc_id: r for r in mixer.score(docs(spark, rows)).collect()}
+    again = {r.doc_id: r for r in mixer.score(docs(spark, rows[::-1]).repartition(3)).collect()}
+    assert got == again
+    raw = {i: t.encode().translate(LOWER) + b"\0" for i, t, *_ in rows}
+    held = [i for i in raw if got[i].held_out]
+    for i in raw:
+        assert math.isclose(got[i].bits_per_byte, -got[i].score * math.log2(10) / len(raw[i]))
+    ours = -sum(got[i].score for i in held) * math.log2(10)
+    for k in mixer.ORDERS:
+        zeros, ones = Counter(), Counter()
+        steps = lambda t: ((t[max(0, p - k) : p].rjust(k, b"\0"), (256 | b) >> (8 - j), b >> (7 - j) & 1) for p, b in enumerate(t) for j in range(8))
+        for i, t in raw.items():
+            if not got[i].held_out:
+                for c, node, bit in steps(t):
+                    (ones if bit else zeros)[c, node] += 1
+        bits = 0.0
+        for i in held:
+            for c, node, bit in steps(raw[i]):
+                a, b = ones[c, node] + 0.05, zeros[c, node] + 0.05
+                bits -= math.log2((a if bit else b) / (a + b))
+        assert ours < bits, (k, ours, bits)
+
+
 def test_op8_string_costs_add_up():
     with np.errstate(over="ignore"):
         s, ends = mixer.strings(np.frombuffer(b"abAB", np.uint8), np.array([0, 2, 4]))

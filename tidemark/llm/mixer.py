@@ -9,15 +9,15 @@ Training, over all documents whose crc32(doc_id) mod 5 is not 1, texts whole:
 
 * Counts: exact, by string, with no ceiling. Texts are dealt into chunks of about ``CHUNK`` bytes; each chunk sends its distinct (k + 1)-byte strings of the
   longest order, with their times in training, to one of ``parts`` parts, by the last three bytes before the newest. A part so holds all strings
-  of a context of order 3 and up, and counts these orders by itself; the number of parts follows the bytes. Strings of orders 1 and 2, of which
-  there are 2^24 at most whatever the input, are counted once and go to every task.
+  of a context of order 3 and up, and counts these orders by itself; the number of parts follows the bytes. Strings of order 2 are counted in
+  Spark and joined to the parts that hold their two bytes of context; those of order 1, 2^16 at most whatever the input, go to every task.
 * Weights and map: each part goes once, online, through its distinct strings: it predicts each bit with the bit's own occurrence taken
   out of the counts, adds the outcome to the map's bucket and moves the weights. Weights are averaged over the parts by
-  bytes seen, maps are added up.
+  bytes seen, maps are added up, both as whole numbers, so reruns agree to the last digit.
 
 With counts, weights and map fixed, a bit's cost hangs on the last bytes alone. So each part costs its distinct strings once, sends every chunk the
-costs of the strings it asked for, and the chunk meets its texts and adds up
-over positions. Base scores are add-half unigram word scores: the ``HEAD`` most frequent words go to every task, a bounded table; counts of all other
+costs of the strings it asked for in the order asked, and the chunk meets its texts and adds up
+over positions, in slices of ``SLICE`` bytes and ``PIECE`` strings, so that no task holds more than twelve bytes a string beside its input. Base scores are add-half unigram word scores: the ``HEAD`` most frequent words go to every task, a bounded table; counts of all other
 words reach the documents by a join on the word's hash (64 bits).
 
 Null text: empty: one token, the end. Null doc_id: remainder 0, in training. Repeated rows: each trains and is scored by itself. Empty table: empty result. No
@@ -46,7 +46,9 @@ CHUNK, LEAST_PARTS = 16_000_000, 24
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
 RATE, STEP, BATCH = 0.001, 0.3, 8192
 CLIP = 8.0
-SLICE = 4_000_000
+SLICE, PIECE = 1_000_000, 64 * 8192
+#: Weights and map entries are added up in units of this.
+UNIT = 2.0**-16
 TINY = 1e-4
 
 
@@ -134,6 +136,9 @@ class Model:
 
     def cost(self, s: np.ndarray) -> np.ndarray:
         """log10 of the probability of the newest byte of each string."""
+        return np.concatenate([self._cost(s[a : a + PIECE]) for a in range(0, len(s), PIECE)]) if len(s) else np.zeros(0)
+
+    def _cost(self, s: np.ndarray) -> np.ndarray:
         out = np.zeros(len(s))
         for x, gate, node, one in self.inputs(s, False):
             for a in range(0, len(s), BATCH):
@@ -145,6 +150,10 @@ class Model:
     def learn(self, s: np.ndarray, times: np.ndarray) -> None:
         """One online pass over strings, each standing ``times`` times: predict, count in the map, move the weights. Bits share neither weights nor buckets, so
         they go one after the other."""
+        for a in range(0, len(s), PIECE):
+            self._learn(s[a : a + PIECE], times[a : a + PIECE])
+
+    def _learn(self, s: np.ndarray, times: np.ndarray) -> None:
         for xs, gates, nodes, bits in self.inputs(s, True):
             for a in range(0, len(s), BATCH):
                 to = slice(a, a + BATCH)
@@ -199,6 +208,10 @@ def _deal(limit: int):
     return run
 
 
+def _part(s: np.ndarray, parts: int) -> np.ndarray:
+    return (H.mix((s >> np.uint64(8)) & _mask(LOW)) % np.uint64(parts)).astype(np.int64)
+
+
 def _ask(parts: int):
     """For each chunk and part: the chunk's distinct strings and how often each stands in its training texts."""
 
@@ -211,7 +224,7 @@ def _ask(parts: int):
 
         def sent() -> pa.RecordBatch:
             s, n = folded()
-            part = (H.mix((s >> np.uint64(8)) & _mask(LOW)) % np.uint64(parts)).astype(np.int64)
+            part = _part(s, parts)
             # Strings of one context stand together, which compresses best.
             order = np.lexsort([s >> np.uint64(32), s & np.uint64(0xFFFFFFFF), part])
             s, n, part = s[order], n[order].astype(np.uint32), part[order]
@@ -234,7 +247,7 @@ def _ask(parts: int):
                     trained = ~np.asarray(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), bool)
                     u, n = np.unique((s << np.uint64(1)) | np.repeat(trained, np.diff(ends)).astype(np.uint64), return_counts=True)
                     held.append((u >> np.uint64(1), n * (u & np.uint64(1)).astype(np.int64)))
-                    if sum(len(x) for x, _ in held) > 4_000_000:
+                    if sum(len(x) for x, _ in held) > 2_000_000:
                         held = [folded()]
             if held:
                 yield sent()
@@ -242,80 +255,107 @@ def _ask(parts: int):
     return run
 
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of order ``LOW`` and their times in training."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _gather(keys, times) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct strings, how often they stand in training) of packed ones, folded as they are opened."""
+    u, n, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for k, t in zip(keys, times):
+        held.append((_unpack(k.as_py(), KEY), _unpack(t.as_py(), TIMES).astype(np.int64)))
+        if sum(len(x) for x, _ in held) > 2_000_000:
+            u, n = _fold(*(np.concatenate(x) for x in zip((u, n), *held)))
+            held = []
+    return _fold(*(np.concatenate(x) for x in zip((u, n), *held)))
 
-    def folded() -> tuple[np.ndarray, np.ndarray]:
-        return _fold(*(np.concatenate(x) for x in zip(*held)))
 
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of order ``LOW`` with their times in training (context false), and the contexts of the next order (true), each once a task: 2^24 of each
+    at most."""
+    two, three = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.uint64)
     for batch in batches:
         for keys, times in zip(batch.column(0), batch.column(1)):
-            n = _unpack(times.as_py(), TIMES).astype(np.int64)
-            held.append(((_unpack(keys.as_py(), KEY) & _mask(LOW))[n > 0], n[n > 0]))
-            if sum(len(x) for x, _ in held) > 4_000_000:
-                held = [folded()]
-    if held:
-        s, n = folded()
-        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
+            s, n = _unpack(keys.as_py(), KEY), _unpack(times.as_py(), TIMES).astype(np.int64)
+            two = _fold(*(np.concatenate(x) for x in zip(two, _fold(s[n > 0] & _mask(LOW), n[n > 0]))))
+            three = np.union1d(three, np.unique((s >> np.uint64(8)) & _mask(LOW)))
+    for context, x, n in ((False, *two), (True, three, np.zeros(len(three), np.int64))):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), context)), pa.array(x.view(np.int64)), pa.array(n)], names=["context", "x", "n"])
+
+
+def _places(parts: int):
+    """The part of each context of the order after ``LOW``, and the two bytes that strings of order ``LOW`` have there before the newest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            with np.errstate(over="ignore"):
+                part = _part(x << np.uint64(8), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array((x & np.uint64(0xFFFF)).view(np.int64))], names=["part", "place"])
+
+    return run
 
 
-def _counts(few, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Counts of each order: low ones from ``few``, the others from a part's strings."""
+def _counts(one: tuple[np.ndarray, np.ndarray], two: pa.Table, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Counts of each order: the first from ``one``, the second from the rows of ``two`` (s, n), the others from a part's strings."""
+    have = {1: one, LOW: (two["s"].to_numpy().view(np.uint64), two["n"].to_numpy())}
     out = []
     for k in ORDERS:
-        u, c = few if k <= LOW else (s, n)
+        u, c = have.get(k, (s, n))
         u, c = _fold(u & _mask(k), c)
         out.append(np.stack([u, c.astype(np.uint64)], axis=1))
     return out
 
 
-def _learn(few):
-    def run(part: pa.Table) -> pa.Table:
+def _learn(one):
+    def run(part: pa.Table, two: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            s, n = _fold(*(np.concatenate([_unpack(x.as_py(), w) for x in part[c]]) for c, w in (("keys", KEY), ("times", TIMES))))
-            s, n = s[n > 0], n[n > 0].astype(np.int64)
-            m = Model(_counts(few.value, s, n))
+            s, n = _gather(part["keys"], part["times"])
+            s, n = s[n > 0], n[n > 0]
+            m = Model(_counts(one, two, s, n))
             order = np.argsort(H.mix(s))  # strings come sorted; online learning wants them in no order
             m.learn(s[order], n[order])
         seen = float(n.sum())
-        both = np.concatenate([m.weights.astype(np.float64).ravel() * seen, m.map.ravel(), [seen]])
+        both = np.rint(np.concatenate([m.weights.astype(np.float64).ravel() * seen, m.map.ravel(), [seen]]) / UNIT).astype(np.int64)
         used = np.flatnonzero(both) if seen else np.zeros(0, np.int64)
         return pa.table({"at": pa.array(used), "x": pa.array(both[used])})
 
     return run
 
 
-def _answer(few, weights: np.ndarray, seen: np.ndarray):
-    """For each chunk that asked a part: its strings there and their costs."""
+def _answer(one, weights: np.ndarray, seen: np.ndarray):
+    """For each chunk that asked a part: the costs of its strings there, in the order asked."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def run(part: pa.Table, two: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            asked = [_unpack(x.as_py(), KEY) for x in part["keys"]]
-            u, n = _fold(np.concatenate(asked), np.concatenate([_unpack(x.as_py(), TIMES) for x in part["times"]]).astype(np.int64))
-            cost = Model(_counts(few.value, u[n > 0], n[n > 0]), weights, seen).cost(u).astype(np.float32)
-            return pa.table({"chunk": part["chunk"], "keys": part["keys"], "costs": pa.array([_pack(cost[np.searchsorted(u, s)], 4) for s in asked], pa.binary())})
+            u, n = _gather(part["keys"], part["times"])
+            cost = Model(_counts(one, two, u[n > 0], n[n > 0]), weights, seen).cost(u).astype(np.float32)
+            costs = (_pack(cost[np.searchsorted(u, _unpack(x.as_py(), KEY))], 4) for x in part["keys"])
+            return pa.table({"part": part["part"], "chunk": part["chunk"], "keys": part["keys"], "costs": pa.array(costs, pa.binary())})
 
     return run
 
 
-def costs(dealt: DataFrame) -> DataFrame:
-    """(chunk, keys, costs) for the chunks of ``dealt`` (chunk, held_out, text): trained on rows that are not held out."""
-    spark = dealt.sparkSession
+def how_many_parts(dealt: DataFrame) -> int:
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(LEAST_PARTS, -(-size // CHUNK))
+    return max(LEAST_PARTS, -(-size // CHUNK))
+
+
+def costs(dealt: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, keys, costs) for the chunks of ``dealt`` (chunk, held_out, text): trained on rows that are not held out."""
     asked = materialise(dealt.select("chunk", "held_out", "text").mapInArrow(_ask(parts), "part long, chunk long, keys binary, times binary"), "asked")
-    # No more rows than there are strings of three bytes.
-    low = asked.select("keys", "times").mapInArrow(_few, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
-    few = spark.sparkContext.broadcast((low["s"].to_numpy().view(np.uint64), low["n"].to_numpy()))
+    few = materialise(asked.select("keys", "times").mapInArrow(_low, "context boolean, x long, n long").groupBy("context", "x").agg(F.sum("n").alias("n")), "few")
+    strings_of_two = few.filter("not context and n > 0").selectExpr("x >> 8 as place", "x as s", "n")
+    # No more rows than there are strings of two bytes.
+    low = strings_of_two.groupBy(F.expr("s & 65535").alias("s")).agg(F.sum("n").alias("n")).orderBy("s").toArrow()
+    one = (low["s"].to_numpy().view(np.uint64), low["n"].to_numpy())
+    places = few.filter("context").select("x").mapInArrow(_places(parts), "part long, place long").distinct()
+    two = materialise(places.join(strings_of_two, "place").select("part", "s", "n"), "two")
+    both = asked.groupBy("part").cogroup(two.groupBy("part"))
     start = Model([np.zeros((0, 2), np.uint64)] * len(ORDERS))
     total = np.zeros(start.weights.size + start.map.size + 1)
     # As many sums as the model has weights and buckets.
-    for r in asked.groupBy("part").applyInArrow(_learn(few), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        total[r.at] = r.x
+    for r in both.applyInArrow(_learn(one), "at long, x long").groupBy("at").agg(F.sum(F.col("x").cast("decimal(20,0)")).alias("x")).collect():
+        total[r.at] = int(r.x) * UNIT
     seen = total[-1]
     weights = (total[: start.weights.size] / seen).astype(np.float32).reshape(start.weights.shape) if seen else start.weights
-    return asked.groupBy("part").applyInArrow(_answer(few, weights, total[start.weights.size : -1].reshape(start.map.shape)), "chunk long, keys binary, costs binary")
+    return both.applyInArrow(_answer(one, weights, total[start.weights.size : -1].reshape(start.map.shape)), "part long, chunk long, keys binary, costs binary")
 
 
 def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,22 +372,44 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
-def _score(head):
+def _turned(s: np.ndarray) -> np.ndarray:
+    """Numbers that stand in order where strings stand as they were asked."""
+    return (s << np.uint64(32)) | (s >> np.uint64(32))
+
+
+class Answers:
+    """Costs of a chunk's strings, kept part by part as they came."""
+
+    def __init__(self, rows: pa.Table, parts: int):
+        self.parts, self.known = parts, {}
+        for part, keys, costs in zip(rows["part"].to_pylist(), rows["keys"], rows["costs"]):
+            self.known[part] = _turned(_unpack(keys.as_py(), KEY)), _unpack(costs.as_py(), 4).astype(np.uint32).view(np.float32)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        part = _part(s, self.parts)
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], part[order[1:]] != part[order[:-1]], [True]])) if len(s) else [0]
+        out = np.zeros(len(s))
+        for a, b in zip(cut, cut[1:]):
+            at = order[a:b]
+            keys, costs = self.known[int(part[at[0]])]
+            out[at] = costs[np.searchsorted(keys, _turned(s[at]))]
+        return out
+
+
+def _score(head, parts: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         heads, value = head.value
         out = []
         with np.errstate(over="ignore"):
-            known = np.concatenate([_unpack(x.as_py(), KEY) for x in answers["keys"]])
-            costs = np.concatenate([_unpack(x.as_py(), 4).astype(np.uint32).view(np.float32) for x in answers["costs"]])
-            order = np.argsort(known)
-            known, costs = known[order], costs[order].astype(np.float64)
+            answered = Answers(answers, parts)
             for batch in text_batches(texts.to_batches(), SLICE):
                 raw, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
                 docs = batch.num_rows
                 s, ends = strings(raw, off)
                 coded = pc.dictionary_encode(pa.array(s))
-                u, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-                score = np.add.reduceat(costs[np.searchsorted(known, u)][back], ends[:-1])
+                score = np.add.reduceat(answered.of(coded.dictionary.to_numpy())[coded.indices.to_numpy()], ends[:-1])
+                size = np.diff(off) + 1
                 h, text = _words(raw, off)
                 at = np.minimum(np.searchsorted(heads, h), max(len(heads) - 1, 0))
                 hit = heads[at] == h if len(heads) else np.zeros(len(h), bool)
@@ -362,15 +424,15 @@ def _score(head):
                 upto = np.concatenate([[0], np.cumsum(np.bincount(t[first], minlength=docs))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(upto, pa.array(c)) for c in (x[first].view(np.int64), times.astype(np.int64))]
                 n = np.bincount(text, minlength=docs) + 1
-                cols = [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")], pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), *lists]
-                out.append(pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"]))
+                cols = [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")], pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(size, pa.int64()), *lists]
+                out.append(pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "words", "times"]))
         return pa.Table.from_batches(out)
 
     return run
 
 
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (its end counted as a byte), one row for each row of ``docs``."""
     spark = docs.sparkSession
     rows = slim(docs, "doc_id", "text").select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 1"), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialise(rows.mapInArrow(_deal(CHUNK), "row long, chunk long, doc_id long, held_out boolean, text string"), "rows")
@@ -386,12 +448,13 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     heads, often = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy().astype(np.float64)
     order = np.argsort(heads)
     known = spark.sparkContext.broadcast((heads[order], value(often[order])))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<long>"
-    scored = materialise(rows.groupBy("chunk").cogroup(costs(rows).groupBy("chunk")).applyInArrow(_score(known), schema), "scored")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, size long, words array<long>, times array<long>"
+    parts = how_many_parts(rows)
+    scored = materialise(rows.groupBy("chunk").cogroup(costs(rows, parts).groupBy("chunk")).applyInArrow(_score(known, parts), schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     met = rare.join(vocabulary, rare.words == vocabulary.h, "left")
     tail = met.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(over)))).alias("more"),
+        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(over))).cast("decimal(18,15)")).cast("double").alias("more"),
         F.sum(F.expr("case when c is not null then times else 0 end")).alias("found"),
     )
     out = scored.join(tail.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), "left")
@@ -404,4 +467,5 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end)).alias("base_score"),
         "score",
+        (F.col("score") / F.lit(-float(np.log10(2))) / F.col("size")).alias("bits_per_byte"),
     )

@@ -16,6 +16,7 @@ orthogonal choice, the same for all rows. Empty table: empty result. Other colum
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -54,7 +55,12 @@ def times(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatrix
 def blocks(rows: DataFrame, total: int, dim: int) -> BlockMatrix:
     """Blocks of ``rows`` (id, c: array of double)."""
     rows = MLUtils.convertVectorColumnsFromML(rows.select("id", array_to_vector("c").alias("c")), "c")
-    return IndexedRowMatrix(rows, total, dim).toBlockMatrix(BLOCK, dim)
+    # Each multiplication reads its blocks twice; a lost executor's are made again.
+    return IndexedRowMatrix(rows, total, dim).toBlockMatrix(BLOCK, dim).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def forget(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper.call("blocks").unpersist(False)
 
 
 def _offsets(sums: list[int], n: int, most: int) -> tuple[Column, Column]:
@@ -79,6 +85,7 @@ def _of_length(rows: DataFrame, dim: int, total: int, keep: int) -> DataFrame:
     of_fit = blocks(fit.select("id", off.alias("off")).select("id", centred.alias("c")), total, dim)
     splits = max(1, -(-total // (BLOCK * BLOCKS)))
     scatter = times(of_fit.transpose(), of_fit, splits).toLocalMatrix().toArray()
+    forget(of_fit)
     e, axis = np.linalg.eigh((scatter + scatter.T) / (2 * n))
     e, axis = e[::-1], axis[:, ::-1]
     trace, k = float(np.trace(scatter) / n), min(keep, dim)
@@ -87,9 +94,11 @@ def _of_length(rows: DataFrame, dim: int, total: int, keep: int) -> DataFrame:
     if spread:
         turn = axis[:, spread] / np.sqrt(e[spread])
         local = rows.sparkSession.sparkContext.parallelize([((0, 0), Matrices.dense(dim, len(spread), turn.ravel(order="F")))], 1)
-        white = times(blocks(offs.select("id", centred.alias("c")), total, dim), BlockMatrix(local, dim, len(spread)))
+        of_all = blocks(offs.select("id", centred.alias("c")), total, dim)
+        white = times(of_all, BlockMatrix(local, dim, len(spread)))
         white = callMLlibFunc("getIndexedRows", white.toIndexedRowMatrix()._java_matrix_wrapper._java_model).toDF("_i", "w")
         white = materialise(white.select("_i", vector_to_array("w").alias("w")), "white")
+        forget(of_all)
         pairs = [F.abs(F.covar_pop(F.col("w")[i], F.col("w")[j]) - float(i == j)) for i in range(len(spread)) for j in range(i, len(spread))]
         error = white.join(fit, F.col("_i") == F.col("id"), "left_semi").agg(F.greatest(*pairs, F.lit(0.0))).first()[0]
         offs = offs.join(white, F.col("id") == F.col("_i"))
