@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.fixtures import corpus, docs, edges, rows_of
+from tests.llm.fixtures import corpus, docs, edges, prose, rows_of
 from tidemark.llm import embed, hashing, licenses, line_chunks, minhash, mixer, mixing, pieces, quality, secrets, suffix
 from tidemark.llm.common import LOWER, materialise
 from tidemark.llm.components import components
@@ -110,11 +110,19 @@ def test_op2_line_chunks(spark):
     for i, v in lines.items():
         r = [roll[h[v[max(k - 1, 0)]], h[v[k]], k > 0] for k in range(len(v))]
         cuts = [0] + [k + 1 for k in range(1, len(v) - 2) if r[k] < r[k - 1] and r[k] < r[k + 1]]
-        chunks += [(i, a, b, "\n".join(v[a:b])) for a, b in zip(cuts, [*cuts[1:], len(v)])]
-    first, gone = {}, defaultdict(set)
-    for i, a, b, s in sorted(chunks):
-        if b - a > 1 and WORD.search(s) and first.setdefault(s, (i, a)) != (i, a):
-            gone[i] |= set(range(a, b))
+        coarse = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(v)]) if b - a > 1]
+        chunks += [(i, a, b, "\n".join(v[a:b]), False) for a, b in coarse]
+        chunks += [(i, k - 1, k + 1, "\n".join(v[k - 1 : k + 1]), True) for k in range(1, len(v)) if r[k] % line_chunks.SPARE and (k - 1, k + 1) not in coarse]
+    first, later, gone = {}, defaultdict(list), defaultdict(set)
+    for i, a, b, s, fine in sorted(chunks, key=lambda c: (c[0], c[1], c[2])):
+        if WORD.search(s) and first.setdefault(s, (i, a, b)) != (i, a, b):
+            later[i].append((a, b, s, fine))
+    for i, met in later.items():
+        for a, b, s, fine in met:
+            if not (fine and any(not f and x <= a and b <= y for x, y, _, f in met)):
+                o, x, y = first[s]
+                v, w = lines[i], lines[o]
+                gone[i] |= set(range(a - (a > 0 and x > 0 and v[a - 1] == w[x - 1]), b + (b < len(v) and y < len(w) and v[b] == w[y])))
     got = {r.doc_id: r for r in line_chunks.dedup(docs(spark, rows)).collect()}
     for i, v in lines.items():
         assert got[i].text == "\n".join(x for k, x in enumerate(v) if k not in gone[i]) and got[i].n_removed == len(gone[i]), i
@@ -123,6 +131,30 @@ def test_op2_line_chunks(spark):
     assert left == {i for i, v in lines.items() if len(gone[i]) < len(v)}
 
 
+def test_op2_recall_of_shared_passages(spark):
+    """Passages of 2 to 12 lines that two unrelated documents share: the share of the second's lines that go, and that nothing else goes."""
+    for m in (2, 3, 4, 5, 6, 8, 12):
+        rows, planted = [], {}
+        for k in range(60):
+            passage = prose(10_000 * m + k, 9 * m - 1).split("\n")
+            assert len(passage) == m
+            for d in (0, 1):
+                above, below = prose(20_000 * m + 2 * k + d, 62).split("\n"), prose(30_000 * m + 2 * k + d, 71).split("\n")
+                rows.append((2 * k + d, "\n".join([*above, *passage, *below]), "en", "a"))
+                planted[2 * k + d] = len(above)
+        left = {r.doc_id: (r.text.split("\n"), r.n_removed) for r in line_chunks.dedup(docs(spark, rows)).collect()}
+        caught = 0
+        for i, text, *_ in rows:
+            if i % 2 == 0:
+                assert left[i][1] == 0
+            else:
+                lines, kept = text.split("\n"), left[i][0]
+                inside = lines[planted[i] : planted[i] + m]
+                assert [x for x in lines if x not in inside] == [x for x in kept if x not in inside]
+                caught += left[i][1]
+        assert caught >= {2: 0.6}.get(m, 0.9) * 60 * m, (m, caught / 60 / m)
+
+
 def test_op3_parity(spark):
     raw = pieces.read_model()
     texts = [t for _, t, *_ in corpus()] + [t for _, t, *_ in edges() if t]

@@ -42,7 +42,7 @@ from tidemark.llm.common import materialise, slim, text_batches, text_bytes
 ORDERS = (1, 2, 3, 4, 5)
 #: The highest order whose strings every task holds; parts go by the context of the next order.
 LOW = 2
-CHUNK, LEAST_PARTS = 16_000_000, 24
+CHUNK, PART, LEAST_PARTS = 16_000_000, 8_000_000, 24
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
 RATE, STEP, BATCH = 0.001, 0.3, 8192
 CLIP = 8.0
@@ -292,15 +292,13 @@ def _places(parts: int):
     return run
 
 
-def _counts(one: tuple[np.ndarray, np.ndarray], two: pa.Table, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def _counts(one: tuple[np.ndarray, np.ndarray], two: pa.Table, s: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
     """Counts of each order: the first from ``one``, the second from the rows of ``two`` (s, n), the others from a part's strings."""
     have = {1: one, LOW: (two["s"].to_numpy().view(np.uint64), two["n"].to_numpy())}
-    out = []
     for k in ORDERS:
         u, c = have.get(k, (s, n))
         u, c = _fold(u & _mask(k), c)
-        out.append(np.stack([u, c.astype(np.uint64)], axis=1))
-    return out
+        yield np.stack([u, c.astype(np.uint64)], axis=1)
 
 
 def _learn(one):
@@ -334,7 +332,7 @@ def _answer(one, weights: np.ndarray, seen: np.ndarray):
 
 def how_many_parts(dealt: DataFrame) -> int:
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(LEAST_PARTS, -(-size // CHUNK))
+    return max(LEAST_PARTS, -(-size // PART))
 
 
 def costs(dealt: DataFrame, parts: int) -> DataFrame:
