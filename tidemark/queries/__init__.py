@@ -18,4 +18,4 @@ def all_sql():
 
 
 def _load() -> None:
-    from tidemark.queries import calls, graphs, programs, rows, variants  # noqa: F401
+    from tidemark.queries import calls, graphs, programs, raw, rows, variants  # noqa: F401
