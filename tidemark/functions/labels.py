@@ -101,7 +101,7 @@ def row_rule(opcode: Column, kind: Column, is_conditional: Column, alloca_level:
     return (
         F.when(opcode == "alloca", F.lit(alloca_level))
         .when((opcode == "br") & (~is_conditional | (kind == "const")), F.lit(INDEP))
-        .when((opcode == "ret") & kind.isin("const", "none"), F.lit(INDEP))
+        .when((opcode == "ret") & (constant | (kind == "none")), F.lit(INDEP))  # a function is a constant too
         .when((opcode == "store") & constant, F.lit(INDEP))
         .when((opcode == "store") & (kind == "arg"), F.lit(ARG))
         .when((opcode == "store") & (kind == "none"), F.lit(DEP))

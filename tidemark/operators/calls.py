@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import ARG, DEP, INDEP, UNKNOWN
+from tidemark.functions.labels import ARG, DEP, INDEP, UNKNOWN, VALUE
 from tidemark.operators.ordered import OrderedRows
 from tidemark.session import materialise
 
@@ -173,12 +173,20 @@ def apply_models(
     return fixed.union(merged).union(lost).distinct()
 
 
-def bind_arguments(resolved: Resolved, actuals: DataFrame, functions: DataFrame) -> DataFrame:
+def bind_arguments(
+    resolved: Resolved, actuals: DataFrame, functions: DataFrame, global_actuals: DataFrame | None = None
+) -> DataFrame:
     """Facts of actuals at the formals of every target, (module, fn, arg_no, level, ref, n).
 
     Equal facts are counted per group before a group is spread over its targets. Undefined labels
-    and actuals beyond the formals are skipped.
+    and actuals beyond the formals are skipped. ``global_actuals`` (module, inst, arg_no, ref): actuals that
+    are globals; one without a defined label depends on itself, VALUE{ref}.
     """
+    if global_actuals is not None:
+        known = actuals.where(F.col("level") > UNKNOWN).select(*CALL, "arg_no")
+        open_ = global_actuals.select(*CALL, "arg_no", "ref").join(known, CALL + ["arg_no"], "left_anti")
+        facts = [*CALL, "arg_no", "level", "ref"]
+        actuals = actuals.select(*facts).unionByName(open_.withColumn("level", F.lit(VALUE)).select(*facts))
     per_group = (
         actuals.where(F.col("level") > UNKNOWN)
         .join(resolved.calls.select(*CALL, "grp"), CALL)

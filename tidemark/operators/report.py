@@ -26,19 +26,19 @@ def report_json(long: DataFrame) -> DataFrame:
     named = F.sort_array(F.collect_list(F.when(F.col("kind") != "", F.struct("kind", F.map_entries("m").alias("e")))))
     docs = kinds.groupBy("section", "owner").agg(plain, F.bool_or(F.col("kind") == "").alias("flat"), named.alias("named"))
     by_kind = F.map_from_entries(F.transform("named", lambda x: F.struct(x["kind"], F.map_from_entries(x["e"]))))
-
-    def nested(body: Column) -> Column:
-        """``body`` below the owner and the section that are not empty."""
-        section, owner = F.col("section"), F.col("owner")
-        full = F.to_json(F.create_map(section, F.create_map(owner, body)))
-        return (
-            F.when((section != "") & (owner != ""), full)
-            .when(section != "", F.to_json(F.create_map(section, body)))
-            .when(owner != "", F.to_json(F.create_map(owner, body)))
-            .otherwise(F.to_json(body))
-        )
-
-    return docs.select("section", "owner", F.when(F.col("flat"), nested(F.col("plain"))).otherwise(nested(by_kind)).alias("doc"))
+    some = F.size("named") > 0
+    # Metrics without a kind stand beside the named kinds: two objects become one.
+    one, two = F.to_json("plain"), F.to_json(by_kind)
+    both = F.concat(F.expr("left(one, char_length(one) - 1)"), F.lit(","), F.expr("substring(two, 2, char_length(two))"))
+    body = F.when(F.col("flat") & some, both).when(F.col("flat"), F.col("one")).otherwise(F.col("two"))
+
+    def under(name: str, inner: Column) -> Column:
+        """``inner`` as the value of key ``name``, which ``to_json`` escapes; an empty name adds no level."""
+        key = F.to_json(F.create_map(F.col(name), F.lit(0)))
+        return F.when(F.col(name) == "", inner).otherwise(F.concat(F.substring(key, F.lit(1), F.char_length(key) - 2), inner, F.lit("}")))
+
+    whole = docs.withColumns({"one": one, "two": two}).withColumn("body", body)
+    return whole.select("section", "owner", under("section", under("owner", F.col("body"))).alias("doc"))
 
 
 def label_locations(labels: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.operators import memory as M
 from tidemark.queries.prelude import EVENTS, PARTS
 from tidemark.queries.registry import query
 
+from tidemark.session import materialise
 from tidemark.sources.bindings import BLOCK, FN, Parts, Sessions
 
 
@@ -96,6 +97,25 @@ def j7(spark, sf):
     return C.bind_arguments(r, p.call_args, p.functions)
 
 
+@query(
+    "j7_bind_globals",
+    PARTS
+    + """SELECT r.module, r.target AS fn, a.arg_no, CASE WHEN g.inst IS NOT NULL THEN 2 ELSE a.level END AS level,
+      CASE WHEN g.inst IS NOT NULL THEN g.ref ELSE a.ref END AS ref, count(*) AS n
+      FROM resolved r JOIN callarg a ON a.module = r.module AND a.inst = r.inst JOIN func f ON f.module = r.module AND f.fn = r.target
+      LEFT JOIN (SELECT module, inst, 2 AS arg_no, ascii(l_returnflag) AS ref FROM callline WHERE l_quantity < 10 AND l_tax < 0.07) g
+        ON g.module = a.module AND g.inst = a.inst AND g.arg_no = a.arg_no
+      WHERE a.arg_no < f.n_args GROUP BY ALL""",
+)
+def j7_globals(spark, sf):
+    """Argument 2 of small lines is a global without a label."""
+    p, r = resolved_parts(spark, sf)
+    small = p.call_lines.where("l_quantity < 10 and l_tax < 0.07")
+    passed = materialise(small.select("module", "inst", F.lit(2).alias("arg_no"), F.ascii("l_returnflag").alias("ref")), "passed_globals")
+    known = p.call_args.join(passed.select("module", "inst", "arg_no"), ["module", "inst", "arg_no"], "left_anti")
+    return C.bind_arguments(r, known, p.functions, passed)
+
+
 def own_summaries(p: Parts):
     """Summaries of functions seen alone: what return and argument 0 depend on."""
     size = F.col("p_size")

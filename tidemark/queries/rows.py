@@ -35,6 +35,48 @@ def s1(spark, sf):
     return rows.join(ops, "module")
 
 
+_ALL_FACTS_SQL = """, n AS (
+      SELECT 'functions' AS name, module, count(*) AS n FROM func GROUP BY ALL
+      UNION ALL SELECT 'args', module, sum(n_args) FROM func GROUP BY ALL
+      UNION ALL SELECT 'calls', module, count(*) FROM call GROUP BY ALL
+      UNION ALL SELECT 'call_args', module, count(*) FROM callarg GROUP BY ALL
+      UNION ALL SELECT 'models', d.module, count(*) FROM (SELECT DISTINCT module, name FROM func WHERE is_declaration) d JOIN model ON model.name = d.name GROUP BY ALL
+      UNION ALL SELECT 'vtable_types', module, count(*) FROM vtype GROUP BY ALL
+      UNION ALL SELECT 'vtable_slots', module, count(*) FROM vslot GROUP BY ALL),
+    ev0 AS (SELECT CAST(user_id % 10 AS INTEGER) AS module, user_id AS fn, CAST(json_extract_string(props, '$.k') AS INTEGER) AS block,
+      event_id AS inst, event_type AS opcode, ts FROM events),
+    sess AS (SELECT *, lead(block) OVER (PARTITION BY fn ORDER BY ts) AS next_block, lag(inst) OVER (PARTITION BY fn, opcode ORDER BY ts) AS operand FROM ev0),
+    m AS (
+      SELECT 'blocks' AS name, module, count(DISTINCT (fn, block)) AS n FROM sess GROUP BY module
+      UNION ALL SELECT 'block_edges', module, count(DISTINCT (fn, block, next_block)) FROM sess WHERE next_block <> block GROUP BY module
+      UNION ALL SELECT 'instructions', module, count(*) FROM sess GROUP BY module
+      UNION ALL SELECT 'operands', module, count(operand) FROM sess GROUP BY module
+      UNION ALL SELECT 'aliases', module, count(DISTINCT (fn, block, next_block)) FROM sess WHERE next_block <> block GROUP BY module)
+    SELECT name, CAST(module AS INTEGER) AS module, CAST(n AS BIGINT) AS n_rows FROM (SELECT * FROM n UNION ALL SELECT * FROM m) WHERE n > 0"""
+
+
+@query("s1_all_facts", PARTS + _ALL_FACTS_SQL)
+def s1_all(spark, sf):
+    """All twelve tables written and read back; rows of each by module."""
+    s, p, path = Sessions(spark, sf), Parts(spark, sf), new_table_path(spark, "facts")
+    flags = {"is_intrinsic": F.lit(False), "returns_void": F.lit(False), "no_return": F.lit(False)}
+    fns = p.functions.withColumns({k: v for k, v in flags.items() if k not in p.functions.columns})
+    args = fns.select(*FN, F.explode(F.expr("sequence(0, n_args - 1)")).alias("arg_no")).withColumn("is_pointer", F.col("arg_no") == 0)
+    edges = s.block_edges
+    pairs = edges.select(*FN, F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.lit("MAY").alias("kind"))
+    names = p.functions.where("is_declaration").select("module", "name").distinct()  # models belong to modules that declare the function
+    tables = {
+        "functions": fns, "args": args, "blocks": s.blocks, "block_edges": edges, "instructions": s.instructions, "operands": s.operands,
+        "calls": p.calls, "call_args": p.call_args, "aliases": pairs, "models": names.join(p.models, "name"), "vtable_types": p.vtable_types, "vtable_slots": p.vtable_slots,
+    }
+    facts.write_facts(tables, path)
+    out = None
+    for name, t in facts.load_facts(spark, path).items():
+        part = t.groupBy("module").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "module", "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "s2_load_models",
     PARTS
@@ -373,7 +415,7 @@ _RULE_SQL = """, r AS (SELECT inst, CASE opcode WHEN 'click' THEN 'br' WHEN 'vie
       value >= 20 AS cond FROM ev)
       SELECT inst, CAST(CASE op WHEN 'alloca' THEN 4
         WHEN 'br' THEN CASE WHEN NOT cond OR kind = 'const' THEN 1 END
-        WHEN 'ret' THEN CASE WHEN kind IN ('const', 'none') THEN 1 END
+        WHEN 'ret' THEN CASE WHEN kind IN ('const', 'function', 'none') THEN 1 END
         WHEN 'store' THEN CASE kind WHEN 'const' THEN 1 WHEN 'function' THEN 1 WHEN 'arg' THEN 3 WHEN 'none' THEN 4 END
         WHEN 'gep' THEN CASE WHEN kind = 'none' THEN 4 END END AS INTEGER) AS rule_level FROM r"""
 
