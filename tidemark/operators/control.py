@@ -168,12 +168,21 @@ def region_inputs(regions: DataFrame, instructions: DataFrame, operands: DataFra
 
 
 def region_is_closed(
-    regions: DataFrame, instructions: DataFrame, operands: DataFrame, edges: DataFrame, unreachable: DataFrame
+    regions: DataFrame,
+    instructions: DataFrame,
+    operands: DataFrame,
+    edges: DataFrame,
+    unreachable: DataFrame,
+    inputs: DataFrame | None = None,
+    phis: DataFrame | None = None,
+    landing_pads: DataFrame | None = None,
 ) -> DataFrame:
-    """R2: (module, fn, start, n_escaping, n_jumps, n_entries, is_closed).
+    """R2: (module, fn, start, n_escaping, n_jumps, n_entries[, n_unknown][, n_phi][, n_landing], is_closed).
 
     Escaping: a row inside is read outside. Jumps: an edge leaves to anything but the stop. Entries: a
-    block other than the start has a predecessor outside that can be reached.
+    block other than the start has a predecessor outside that can be reached. Unknown: a row from outside
+    is read that is none of ``inputs`` (module, fn, start, operand). Phi: a row inside reads one of ``phis``
+    (module, fn, inst), whose value hangs on the way in. Landing: the stop is one of ``landing_pads`` (module, fn, block).
     """
     key = FN + ["start"]
     place = instructions.select(*BLOCK, "inst")
@@ -188,14 +197,25 @@ def region_is_closed(
         live.select(*FN, F.col("dst").alias("block"), F.col("src").alias("before")), BLOCK
     )
     entries = into.join(body.select(*key, F.col("block").alias("before")), key + ["before"], "left_anti")
+    failures = [(escaping, "n_escaping"), (jumps, "n_jumps"), (entries, "n_entries")]
+    reads = inside.join(operands.select(*FN, F.col("dst").alias("inst"), F.col("src").alias("operand")), FN + ["inst"])
+    if inputs is not None:
+        foreign = reads.select(*key, "operand").distinct()
+        foreign = foreign.join(inside.withColumnRenamed("inst", "operand"), key + ["operand"], "left_anti")
+        failures.append((foreign.join(inputs.select(*key, "operand"), key + ["operand"], "left_anti"), "n_unknown"))
+    if phis is not None:
+        failures.append((reads.join(phis.select(*FN, F.col("inst").alias("operand")), FN + ["operand"], "left_semi"), "n_phi"))
+    if landing_pads is not None:
+        stops = regions.select(*key, "stop").distinct().join(landing_pads.select(*FN, F.col("block").alias("stop")), FN + ["stop"], "left_semi")
+        failures.append((stops, "n_landing"))
     count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
     all_ = regions.select(*key).distinct()
-    for df, name in ((escaping, "n_escaping"), (jumps, "n_jumps"), (entries, "n_entries")):
+    for df, name in failures:
         all_ = all_.join(count(df, name), key, "left")
-    return all_.fillna(0).withColumn("is_closed", F.col("n_escaping") + F.col("n_jumps") + F.col("n_entries") == 0)
+    return all_.fillna(0).withColumn("is_closed", sum((F.col(n) for _, n in failures[1:]), F.col("n_escaping")) == 0)
 
 
-def merge_regions(regions: DataFrame, edges: DataFrame) -> DataFrame:
+def merge_regions(regions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Regions that share a block, or continue one into the other, become one, (module, fn, region, block).
 
     Connected parts of the graph of regions and blocks, so popular blocks cost one edge per region;
@@ -230,3 +250,41 @@ def extraction_stats(regions: DataFrame, closed: DataFrame, instructions: DataFr
     fit = closed.where("is_closed").select(*key)
     sized = regions.join(fit, key, "left_semi").join(rows, BLOCK).groupBy(*key).agg(F.sum("n").alias("n"))
     return sized.groupBy("module").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("n").alias("n_rows"))
+
+
+def merged_bodies(regions: DataFrame, merged: DataFrame) -> DataFrame:
+    """R3 in the shape of regions, (module, fn, start, stop, block), to be tested again.
+
+    A merged region starts where no other of its regions leads (the smallest such start, or the smallest of all on a
+    cycle of regions) and stops at the smallest stop outside its blocks; with further ones R2 counts jumps. No stop outside: -1.
+    """
+    parts = regions.select(*FN, "start", "stop").distinct()
+    of = parts.join(merged.select(*FN, "region", F.col("block").alias("start")), FN + ["start"])
+    held = regions.groupBy(*FN, F.col("block").alias("start")).agg(F.count(F.lit(1)).alias("_times"))
+    ends = parts.select(*FN, F.col("stop").alias("start")).distinct().withColumn("_end", F.lit(True))
+    inner = merged.select(*FN, "region", F.col("block").alias("stop")).withColumn("_in", F.lit(True))
+    seen = of.join(held, FN + ["start"]).join(ends, FN + ["start"], "left").join(inner, FN + ["region", "stop"], "left")
+    first = F.min(F.when((F.col("_times") == 1) & F.col("_end").isNull(), F.col("start")))
+    last = F.min(F.when(F.col("_in").isNull(), F.col("stop")))
+    span = seen.groupBy(*FN, "region").agg(F.coalesce(first, F.min("start")).alias("start"), F.coalesce(last, F.lit(-1)).alias("stop"))
+    return merged.join(span, FN + ["region"]).select(*FN, "start", "stop", "block")
+
+
+def extraction_totals(bodies: DataFrame, closed: DataFrame, runs: DataFrame, instructions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A13 over merged regions and runs, per module: every row once.
+
+    Closed merged regions share no block; a run (module, fn, block, begin_idx, end_idx) inside one of them is part of it.
+    ``n_extracted`` counts functions all of whose blocks are in one closed region.
+    """
+    kept = materialise(bodies.join(closed.where("is_closed").select(*FN, "start"), FN + ["start"], "left_semi"), "kept_bodies")
+    rows = instructions.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    sized = kept.join(rows, BLOCK, "left").groupBy(*FN, "start").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_blocks"))
+    whole = sized.join(blocks.groupBy(*FN).agg(F.count(F.lit(1)).alias("_all")), FN)
+    regions = whole.groupBy("module").agg(
+        F.count(F.lit(1)).alias("n_regions"), F.sum("n").alias("n_region_rows"), F.countDistinct("fn").alias("n_functions"), F.count_if(F.col("n_blocks") == F.col("_all")).alias("n_extracted")
+    )
+    alone = runs.join(kept.select(*BLOCK), BLOCK, "left_anti")
+    spans = alone.groupBy("module").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("end_idx") - F.col("begin_idx") + 1).alias("n_run_rows"))
+    found = regions.join(spans, "module", "full_outer").fillna(0)
+    names = ["n_regions", "n_region_rows", "n_functions", "n_extracted", "n_runs", "n_run_rows"]
+    return found.select("module", *[F.col(n).cast("long").alias(n) for n in names], (F.col("n_region_rows") + F.col("n_run_rows")).cast("long").alias("n_rows"))
