@@ -42,7 +42,7 @@ from tidemark.llm.common import materialise, slim, text_batches, text_bytes
 ORDERS = (1, 2, 3, 4, 5)
 #: The highest order whose strings every task holds; parts go by the context of the next order.
 LOW = 2
-CHUNK, PART, LEAST_PARTS = 16_000_000, 8_000_000, 24
+CHUNK, PART, LEAST_PARTS = 8_000_000, 8_000_000, 24
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
 RATE, STEP, BATCH = 0.001, 0.3, 8192
 CLIP = 8.0
