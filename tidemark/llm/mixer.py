@@ -42,7 +42,7 @@ from tidemark.llm.common import materialise, slim, text_batches, text_bytes
 ORDERS = (1, 2, 3, 4, 5)
 #: The highest order whose strings every task holds; parts go by the context of the next order.
 LOW = 2
-CHUNK, PART, LEAST_PARTS = 8_000_000, 8_000_000, 24
+CHUNK, PART, LEAST_PARTS = 16_000_000, 8_000_000, 24
 HEAD, GATES, BUCKETS = 1 << 18, 256 * 4, 33
 RATE, STEP, BATCH = 0.001, 0.3, 8192
 CLIP = 8.0
@@ -218,20 +218,23 @@ def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh = 0
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
             return _fold(*(np.concatenate(x) for x in zip(*held)))
 
         def sent() -> pa.RecordBatch:
             s, n = folded()
-            part = _part(s, parts)
+            n = n.astype(np.uint32)
+            part = np.concatenate([_part(s[a : a + PIECE], parts).astype(np.int32) for a in range(0, len(s), PIECE)])
             # Strings of one context stand together, which compresses best.
-            order = np.lexsort([s >> np.uint64(32), s & np.uint64(0xFFFFFFFF), part])
-            s, n, part = s[order], n[order].astype(np.uint32), part[order]
+            order = np.lexsort([_turned(s), part])
+            s, n, part = s[order], n[order], part[order]
+            del order
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             keys = [_pack(s[a:b], KEY) for a, b in zip(cut, cut[1:])]
             times = [_pack(n[a:b], TIMES) for a, b in zip(cut, cut[1:])]
-            ids = part[cut[:-1]]
+            ids = part[cut[:-1]].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), now)), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["part", "chunk", "keys", "times"])
 
         with np.errstate(over="ignore"):
@@ -241,14 +244,15 @@ def _ask(parts: int):
                 for a, b in zip(cut, cut[1:]):
                     if held and now != chunks[a]:
                         yield sent()
-                        held = []
+                        held, fresh = [], 0
                     now = int(chunks[a])
                     s, ends = strings(*text_bytes(batch.column(2).slice(a, b - a)))
                     trained = ~np.asarray(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), bool)
                     u, n = np.unique((s << np.uint64(1)) | np.repeat(trained, np.diff(ends)).astype(np.uint64), return_counts=True)
                     held.append((u >> np.uint64(1), n * (u & np.uint64(1)).astype(np.int64)))
-                    if sum(len(x) for x, _ in held) > 2_000_000:
-                        held = [folded()]
+                    fresh += len(u)
+                    if fresh > 1_000_000:
+                        held, fresh = [folded()], 0
             if held:
                 yield sent()
 
