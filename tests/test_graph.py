@@ -134,3 +134,15 @@ def test_region_merge(spark):
     df = spark.createDataFrame(rows, "module int, fn long, start int, stop int, block int")
     got = {(r.region, r.block) for r in merge_regions(df, None).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (1, 5), (7, 7)}
+
+
+def test_chain_links_are_judged_graph_by_graph(spark):
+    """A busy graph beside a chain does not take the chain's links away, and gets none itself."""
+    from tidemark.operators.fixpoint import skip_links
+
+    chain = [(0, k, k + 1) for k in range(64)]
+    busy = [(1, a, b) for a in range(12) for b in range(12) if a != b]
+    edges = spark.createDataFrame(chain + busy, "g int, src int, dst int")
+    got = skip_links(edges, ["g"]).groupBy("g").count().collect()
+    counts = {r.g: r["count"] for r in got}
+    assert counts[1] == len(busy) and counts[0] > 2 * len(chain)

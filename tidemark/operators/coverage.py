@@ -24,12 +24,17 @@ def merge_labels(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.max("level").alias("level"), csv(args).alias("args"))
 
 
-def label_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """A4: dependent / independent / unknown rows per key and the truncated dependent share."""
+def label_counts(labels: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
+    """A4: dependent / independent / unknown rows per key and the truncated dependent share.
+
+    ``times`` names a column that says for how many rows a row stands.
+    """
+    if times is None:
+        many, rows = _n, F.count(F.lit(1))
+    else:
+        many, rows = lambda c: F.sum(F.when(c, F.col(times)).otherwise(0)), F.sum(times)
     counted = labels.groupBy(*keys).agg(
-        _n(F.col("level") == DEP).alias("n_dep"),
-        _n(F.col("level") == INDEP).alias("n_indep"),
-        F.count(F.lit(1)).alias("n_rows"),
+        many(F.col("level") == DEP).alias("n_dep"), many(F.col("level") == INDEP).alias("n_indep"), rows.alias("n_rows")
     )
     return counted.select(
         *keys,
@@ -169,10 +174,10 @@ def callers_of(edges: DataFrame) -> DataFrame:
     return pairs.join(size, FN)
 
 
-def coverage_before_after(before: DataFrame, after: DataFrame, names=("before", "after")) -> DataFrame:
-    """Label counts per module in two named sections, side by side."""
-    both = label_counts(before, ["module"]).withColumn("section", F.lit(names[0])).unionByName(
-        label_counts(after, ["module"]).withColumn("section", F.lit(names[1]))
+def coverage_before_after(before: DataFrame, after: DataFrame, names=("before", "after"), times: str | None = None) -> DataFrame:
+    """Label counts per module in two named sections, side by side; ``times`` as in ``label_counts``."""
+    both = label_counts(before, ["module"], times).withColumn("section", F.lit(names[0])).unionByName(
+        label_counts(after, ["module"], times).withColumn("section", F.lit(names[1]))
     )
     return both.groupBy("module").pivot("section", list(names)).agg(
         F.first("n_dep").alias("n_dep"), F.first("n_rows").alias("n_rows"), F.first("percent").alias("percent")

@@ -1,8 +1,8 @@
 """Least fixpoints over DataFrames.
 
 Rounds are semi-naive: a round joins only the rows found by the round before. Every round is written
-as a table of its own in the shared folder and never rewritten, so a round costs what is new, the
-plan stays short, and a lost executor re-reads files. Small deltas are broadcast by the optimizer on
+as a table of its own in the shared folder and never rewritten, so the plan stays short and a lost
+executor re-reads files. Taking out what is known already reads and shuffles all earlier rounds. Small deltas are broadcast by the optimizer on
 their true size, large ones shuffle with skew handling.
 """
 
@@ -56,19 +56,22 @@ def pace(edges: DataFrame, keys: list[str]) -> dict[str, int]:
 
 
 def skip_links(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``edges`` and, where the graph is (nearly) a forest, links over 2, 4, 8, ... nodes of a chain.
+    """``edges`` and, for each graph of ``keys`` that is (nearly) a forest, links over 2, 4, 8, ... nodes of a chain.
 
     The links are implied by the edges, so reachability stays the same, but a chain of n nodes is
     crossed in log2(n) rounds instead of n: one endless chain cannot hold up the loop. Building them
     takes log2(n) joins that shrink with the chains still open. Graphs where less than 95% of the
-    edges are the only one into their node are returned as they are; there plain rounds are cheaper.
+    edges are the only one into their node get no links; there plain rounds are cheaper. Each graph is judged by itself.
     """
     edges = edges.select(*keys, "src", "dst")
     single = edges.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("src"))
-    total, alone = single.agg(F.sum("_n"), F.count_if(F.col("_n") == 1)).first()
-    if not total or alone < 0.95 * total:
+    judged = single.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.count_if(F.col("_n") == 1).alias("_alone"))
+    thin = materialise(judged.where("_alone >= 0.95 * _all").select(*keys, "_alone"), "thin")
+    alone = thin.agg(F.max("_alone")).first()[0]
+    if not alone:
         return edges
-    links = materialise(single.where("_n = 1 and src <> dst").select(*keys, "src", "dst"), "links")
+    links = single.where("_n = 1 and src <> dst").join(thin.select(*keys), keys, "left_semi").select(*keys, "src", "dst")
+    links = materialise(links, "links")
     found, length = edges, 1
     # A closed ring never runs out of links; past all nodes it has been crossed.
     while length <= alone:

@@ -49,6 +49,7 @@ func AS MATERIALIZED (
   SELECT module, fn, p_name AS name, p_brand || '/' || p_type || '/' || p_size % 5 AS fn_type,
          p_brand, p_type, p_size, CAST(p_size % 2 + 2 AS INTEGER) AS n_args, p_size % 3 = 0 AS is_vararg, p_size <= 5 AS is_declaration
   FROM (SELECT DISTINCT module, l_partkey AS fn FROM succ) JOIN part ON fn = p_partkey),
+ownline AS MATERIALIZED (SELECT s.* FROM succ s JOIN part c ON c.p_partkey = s.l_partkey AND c.p_size > 5),
 callline AS (
   SELECT s.*, t.p_brand || '/' || t.p_type || '/' || t.p_size % 5 AS t_fn_type, t.p_type, t.p_size AS size,
          CASE WHEN l_tax < 0.02 AND l_linestatus = 'F' THEN 'signature'

@@ -230,11 +230,16 @@ class Parts:
             .select("module", F.col("fn").alias("node"), F.lit(DEP).alias("level"), F.lit(-1).alias("ref"))
         )
 
+    @property
+    def own_lines(self) -> DataFrame:
+        """All lines of parts that have a body, the last ones of orders too."""
+        declared = self.part.where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
+        return self.succession.join(declared, "l_partkey", "left_anti")
+
     @property
     def call_lines(self) -> DataFrame:
         """Lines that are calls: a successor exists and the caller has a body."""
-        declared = self.part.where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
-        return self.succession.where("next_part is not null").join(declared, "l_partkey", "left_anti")
+        return self.own_lines.where("next_part is not null")
 
     @property
     def calls(self) -> DataFrame:
