@@ -140,7 +140,7 @@ def test_chain_links_are_judged_graph_by_graph(spark):
     """A busy graph beside a chain does not take the chain's links away, and gets none itself."""
     from tidemark.operators.fixpoint import skip_links
 
-    chain = [(0, k, k + 1) for k in range(64)]
+    chain = [(0, k, k + 1) for k in range(200)]
     busy = [(1, a, b) for a in range(12) for b in range(12) if a != b]
     edges = spark.createDataFrame(chain + busy, "g int, src int, dst int")
     got = skip_links(edges, ["g"]).groupBy("g").count().collect()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise, new_table_path
 
 Step = Callable[[DataFrame], DataFrame]
+#: Fewer edges that could form a chain are not worth links of their own.
+LEAST_CHAIN = 100
 
 
 class _Rounds:
@@ -61,12 +63,13 @@ def skip_links(edges: DataFrame, keys: list[str]) -> DataFrame:
     The links are implied by the edges, so reachability stays the same, but a chain of n nodes is
     crossed in log2(n) rounds instead of n: one endless chain cannot hold up the loop. Building them
     takes log2(n) joins that shrink with the chains still open. Graphs where less than 95% of the
-    edges are the only one into their node get no links; there plain rounds are cheaper. Each graph is judged by itself.
+    edges are the only one into their node get no links; there plain rounds are cheaper. Each graph is judged by
+    itself; one of fewer than ``LEAST_CHAIN`` such edges is crossed soon enough without.
     """
     edges = edges.select(*keys, "src", "dst")
     single = edges.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("src"))
     judged = single.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.count_if(F.col("_n") == 1).alias("_alone"))
-    thin = materialise(judged.where("_alone >= 0.95 * _all").select(*keys, "_alone"), "thin")
+    thin = materialise(judged.where(f"_alone >= 0.95 * _all and _alone >= {LEAST_CHAIN}").select(*keys, "_alone"), "thin")
     alone = thin.agg(F.max("_alone")).first()[0]
     if not alone:
         return edges
