@@ -74,6 +74,12 @@ def strings(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])
 
 
+def _given_back(x):
+    """``x``; what Arrow no longer uses goes back to the machine, since workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    return x
+
+
 def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (8 * (k + 1))) - 1)
 
@@ -235,7 +241,7 @@ def _ask(parts: int):
             keys = [_pack(s[a:b], KEY) for a, b in zip(cut, cut[1:])]
             times = [_pack(n[a:b], TIMES) for a, b in zip(cut, cut[1:])]
             ids = part[cut[:-1]].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), now)), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["part", "chunk", "keys", "times"])
+            return _given_back(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), now)), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["part", "chunk", "keys", "times"]))
 
         with np.errstate(over="ignore"):
             for batch in text_batches(batches, SLICE):
@@ -316,7 +322,7 @@ def _learn(one):
         seen = float(n.sum())
         both = np.rint(np.concatenate([m.weights.astype(np.float64).ravel() * seen, m.map.ravel(), [seen]]) / UNIT).astype(np.int64)
         used = np.flatnonzero(both) if seen else np.zeros(0, np.int64)
-        return pa.table({"at": pa.array(used), "x": pa.array(both[used])})
+        return _given_back(pa.table({"at": pa.array(used), "x": pa.array(both[used])}))
 
     return run
 
@@ -329,7 +335,7 @@ def _answer(one, weights: np.ndarray, seen: np.ndarray):
             u, n = _gather(part["keys"], part["times"])
             cost = Model(_counts(one, two, u[n > 0], n[n > 0]), weights, seen).cost(u).astype(np.float32)
             costs = (_pack(cost[np.searchsorted(u, _unpack(x.as_py(), KEY))], 4) for x in part["keys"])
-            return pa.table({"part": part["part"], "chunk": part["chunk"], "keys": part["keys"], "costs": pa.array(costs, pa.binary())})
+            return _given_back(pa.table({"part": part["part"], "chunk": part["chunk"], "keys": part["keys"], "costs": pa.array(costs, pa.binary())}))
 
     return run
 
@@ -409,8 +415,9 @@ def _score(head, parts: int):
                 raw, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
                 docs = batch.num_rows
                 s, ends = strings(raw, off)
-                coded = pc.dictionary_encode(pa.array(s))
-                score = np.add.reduceat(answered.of(coded.dictionary.to_numpy())[coded.indices.to_numpy()], ends[:-1])
+                u, back = np.unique(s, return_inverse=True)
+                score = np.add.reduceat(answered.of(u)[back], ends[:-1])
+                del s, u, back
                 size = np.diff(off) + 1
                 h, text = _words(raw, off)
                 at = np.minimum(np.searchsorted(heads, h), max(len(heads) - 1, 0))
@@ -428,7 +435,7 @@ def _score(head, parts: int):
                 n = np.bincount(text, minlength=docs) + 1
                 cols = [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")], pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(size, pa.int64()), *lists]
                 out.append(pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "words", "times"]))
-        return pa.Table.from_batches(out)
+        return _given_back(pa.Table.from_batches(out))
 
     return run
 
