@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing as H
-from tidemark.llm.common import materialise, slim, text_batches, text_bytes
+from tidemark.llm.common import batches_of, materialise, slim, text_batches, text_bytes
 
 ORDERS = (1, 2, 3, 4, 5)
 #: The highest order whose strings every task holds; parts go by the context of the next order.
@@ -442,6 +442,11 @@ def _score(head, parts: int):
 
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (its end counted as a byte), one row for each row of ``docs``."""
+    with batches_of(docs.sparkSession, 1000):
+        return _scored(docs, head)
+
+
+def _scored(docs: DataFrame, head: int) -> DataFrame:
     spark = docs.sparkSession
     rows = slim(docs, "doc_id", "text").select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 1"), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialise(rows.mapInArrow(_deal(CHUNK), "row long, chunk long, doc_id long, held_out boolean, text string"), "rows")
