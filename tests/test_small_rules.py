@@ -52,7 +52,7 @@ def test_main_starts_independent(spark):
     r = resolved(spark, [(0, 1, "a", "direct", "fn:2"), (0, 4, "b", "direct", "fn:3")], [(0, "fn:2", 2), (0, "fn:3", 3)])
     fns = spark.createDataFrame([(0, 1, "main"), (0, 2, "f"), (0, 3, "g"), (0, 4, "h")], "module int, fn long, name string")
     hot = spark.createDataFrame([(0, "b")], "module int, inst string")
-    assert {x.fn: x.called for x in I.call_determinism(r, hot, fns).collect()} == {1: "independent", 2: "independent", 3: "dependent", 4: "no call"}
+    assert {x.fn: x.called for x in I.call_determinism(r, hot, fns, entry="main").collect()} == {1: "independent", 2: "independent", 3: "dependent", 4: "no call"}
 
 
 def test_fixed_results_of_calls(spark):

@@ -537,4 +537,4 @@ def c5(spark, sf):
 )
 def c6(spark, sf):
     p, r = resolved_parts(spark, sf)
-    return I.call_determinism(r, in_dep_block(p), p.functions)
+    return I.call_determinism(r, in_dep_block(p), p.functions, entry="main")
