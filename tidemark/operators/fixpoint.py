@@ -2,15 +2,19 @@
 
 Rounds are semi-naive: a round joins only the rows found by the round before. Every round is written
 as a table of its own in the shared folder and never rewritten, so the plan stays short and a lost
-executor re-reads files. Taking out what is known already reads and shuffles all earlier rounds. Small deltas are broadcast by the optimizer on
-their true size, large ones shuffle with skew handling.
+executor re-reads files. What is known already is taken out of new rows where it lies: rows of late
+rounds are few and broadcast on their true size, all earlier ones stand in buckets, so that a round
+moves new rows only. Small deltas are broadcast by the optimizer on their true size, large ones shuffle
+with skew handling.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise, new_table_path
@@ -18,23 +22,96 @@ from tidemark.session import materialise, new_table_path
 Step = Callable[[DataFrame], DataFrame]
 #: Fewer edges that could form a chain are not worth links of their own.
 LEAST_CHAIN = 100
+#: Rows of late rounds that stay outside the buckets.
+RECENT_CONF = "spark.tidemark.recentRows"
+RECENT_ROWS = 200_000
+
+
+def same(names: list[str]) -> Column:
+    """Rows ``new`` and ``old`` agree in ``names``, NULL with NULL.
+
+    Written so that only the hash of a row is a key of the join: it is what the buckets hang on.
+    """
+    both = lambda n: F.col(f"new.{n}").isNull() & F.col(f"old.{n}").isNull()
+    return reduce(Column.__and__, [F.coalesce(F.col(f"new.{n}") == F.col(f"old.{n}"), both(n)) for n in names])
 
 
 class _Rounds:
-    """Append-only table, one folder per round."""
+    """Append-only table, one folder per round, and an index of it that stays where it is.
+
+    ``by`` are the columns whose hash tells rows apart. Rounds are kept as they are until they hold
+    more than ``spark.tidemark.recentRows`` rows; then they become a table in buckets of that hash,
+    together with all such tables that are no larger. So there are at most log2 of them, a row is
+    bucketed again at most log2 times, and new rows meet the buckets without an exchange of these.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.schema = df.sparkSession, df.schema
+    def __init__(self, df: DataFrame, name: str, by: list[str], tidy: Step):
+        self.spark, self.schema, self.by, self.tidy = df.sparkSession, df.schema, by, tidy
         self.root, self.paths = new_table_path(self.spark, name), []
+        self.recent, self.recent_rows = [], 0
+        self.settled = []  # (table, rows), largest first
+        self.last_rows = 0
+        self.limit = int(self.spark.conf.get(RECENT_CONF, str(RECENT_ROWS)))
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> _Rounds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table, _rows in self.settled:
+            self._forget(table)
+
+    def _forget(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", F.xxhash64(*self.by))
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def add(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/round-{len(self.paths):05d}"
         delta = materialise(df, path=path)
         self.paths.append(path)
+        self.last_rows = delta.count()
+        if self.last_rows:
+            self.recent.append(path)
+            self.recent_rows += self.last_rows
+        if self.recent_rows > self.limit:
+            self._settle()
         return delta
 
+    def _settle(self) -> None:
+        rows, parts, old = self.recent_rows, [self._read(self.recent)], []
+        while self.settled and self.settled[-1][1] <= rows:
+            table, n = self.settled.pop()
+            old.append(table)
+            parts.append(self.spark.table(table).drop("_h"))
+            rows += n
+        table = f"tidemark_known_{uuid.uuid4().hex}"
+        merged = self._keyed(self.tidy(reduce(DataFrame.unionByName, parts)))
+        # One file per bucket, in the shared folder.
+        writer = merged.repartition(self.buckets, "_h").write.bucketBy(self.buckets, "_h")
+        writer.option("path", f"{self.root}/{table}").saveAsTable(table)
+        self.settled.append((table, rows))
+        self.recent, self.recent_rows = [], 0
+        for name in old:
+            self._forget(name)
+
+    def new(self, found: DataFrame, covered: Column) -> DataFrame:
+        """Rows of ``found`` that no known row with their hash ``covered``s; sides are ``new`` and ``old``."""
+        typed = found.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])  # hashes differ between types
+        left = self._keyed(typed).alias("new")
+        known = [self.spark.table(t) for t, _ in self.settled]
+        if self.recent:
+            known.append(self._keyed(self._read(self.recent)))
+        for old in known:
+            left = left.join(old.alias("old"), (F.col("new._h") == F.col("old._h")) & covered, "left_anti").alias("new")
+        return left.drop("_h")
+
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        return self._read(self.paths)
 
 
 def pace(edges: DataFrame, keys: list[str]) -> dict[str, int]:
@@ -99,30 +176,34 @@ def _hops(step: Step, delta: DataFrame, hops: int, stride: int, tidy: Step) -> D
 
 
 def closure(
-    seed: DataFrame, step: Step, hops: int = 1, stride: int = 1, subsumed=None, with_known: bool = False
+    seed: DataFrame,
+    step: Step,
+    hops: int = 1,
+    stride: int = 1,
+    by: list[str] | None = None,
+    covered: Column | None = None,
+    with_known: bool = False,
 ) -> DataFrame:
     """Smallest set of rows that holds ``seed`` and everything ``step`` makes of its rows.
 
-    ``hops`` and ``stride``: see ``pace``. ``subsumed(new, known)`` may drop new rows that add nothing.
+    ``hops`` and ``stride``: see ``pace``. A new row adds nothing if a known one is equal to it; with
+    ``by`` and ``covered``, if a known row with the same values of ``by`` fulfils the condition, in which the two are
+    called ``new`` and ``old`` (it must hold for equal rows).
     A step that joins found rows with each other asks for ``step(delta, known)`` through
     ``with_known`` and takes one hop per round.
     """
     cols = seed.columns
-    rounds = _Rounds(seed, "closure")
-    delta = rounds.add(seed.distinct())
-    while not delta.isEmpty():
-        known = rounds.all()
-        if with_known:
-            found = step(delta, known).select(*cols)
-        else:
-            found = _hops(lambda d: step(d).select(*cols), delta, hops, stride, lambda d: d.distinct())
-        # New rows are those no earlier round has: one aggregation instead of distinct and anti-join.
-        both = found.withColumn("_old", F.lit(False)).union(known.withColumn("_old", F.lit(True)))
-        new = both.groupBy(*cols).agg(F.bool_or("_old").alias("_old")).where("not _old").select(*cols)
-        if subsumed is not None:
-            new = subsumed(new, known)
-        delta = rounds.add(new)
-    return rounds.all()
+    by, covered = by or cols, same(cols) if covered is None else same(by) & covered
+    unique = lambda d: d.distinct()
+    with _Rounds(seed, "closure", by, lambda d: d) as rounds:
+        delta = rounds.add(seed.distinct())
+        while rounds.last_rows:
+            if with_known:
+                found = step(delta, rounds.all()).select(*cols)
+            else:
+                found = _hops(lambda d: step(d).select(*cols), delta, hops, stride, unique)
+            delta = rounds.add(rounds.new(unique(found), covered))
+        return rounds.all()
 
 
 def relax(
@@ -131,17 +212,15 @@ def relax(
     """Best ``value`` per key, where ``step`` offers values to other keys."""
     cols = keys + [value]
     pick = lambda df: df.groupBy(*keys).agg(best(value).alias(value))
-    rounds = _Rounds(seed.select(*cols), "relax")
-    delta = rounds.add(pick(seed.select(*cols)))
-    offered, current = F.when(~F.col("_old"), F.col(value)), F.when(F.col("_old"), F.col(value))
-    better = F.col("_new") < F.col("_cur") if best is F.min else F.col("_new") > F.col("_cur")
-    while not delta.isEmpty():
-        found = _hops(lambda d: step(d).select(*cols), delta, hops, stride, pick)
-        both = found.withColumn("_old", F.lit(False)).union(rounds.all().withColumn("_old", F.lit(True)))
-        met = both.groupBy(*keys).agg(best(offered).alias("_new"), best(current).alias("_cur"))
-        new = met.where(F.col("_new").isNotNull() & (F.col("_cur").isNull() | better))
-        delta = rounds.add(new.select(*keys, F.col("_new").alias(value)))
-    return pick(rounds.all())
+    offered, had = F.col(f"new.{value}"), F.col(f"old.{value}")
+    covered = same(keys) & (had <= offered if best is F.min else had >= offered)
+    seed = seed.select(*cols)
+    with _Rounds(seed, "relax", keys, pick) as rounds:
+        delta = rounds.add(pick(seed))
+        while rounds.last_rows:
+            found = _hops(lambda d: step(d).select(*cols), delta, hops, stride, pick)
+            delta = rounds.add(rounds.new(pick(found).where(F.col(value).isNotNull()), covered))
+        return pick(rounds.all())
 
 
 def chase(links: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, csv
-from tidemark.operators.fixpoint import chase, closure, pace, relax, skip_links
+from tidemark.operators.fixpoint import chase, closure, pace, relax, same, skip_links
 from tidemark.session import materialise
 
 FN = ["module", "fn"]
@@ -31,10 +31,10 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     return spread(starts.select(*keys, "node"), edges, keys)
 
 
-def spread(seed: DataFrame, edges: DataFrame, keys: list[str], subsumed=None) -> DataFrame:
-    """Rows of ``seed`` (keys, node, ...) carried along the edges to every node they reach."""
+def spread(seed: DataFrame, edges: DataFrame, keys: list[str], **known) -> DataFrame:
+    """Rows of ``seed`` (keys, node, ...) carried along the edges to every node they reach; ``known``: see ``closure``."""
     edges = skip_links(materialise(edges.select(*keys, "src", "dst").distinct(), "edges"), keys)
-    return closure(seed, along(edges, keys), subsumed=subsumed, **pace(edges, keys))
+    return closure(seed, along(edges, keys), **known, **pace(edges, keys))
 
 
 def unreachable_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,16 +44,12 @@ def unreachable_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return blocks.select(*FN, "block").join(live, FN + ["block"], "left_anti")
 
 
-def _below_dep(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Drop facts of nodes that are at the top level already."""
-    keys = [c for c in known.columns if c not in ("level", "ref")]
-    return new.join(known.where(F.col("level") == DEP).select(*keys), keys, "left_anti")
-
-
 def propagate(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """G1: facts of every node = its own seeds and the facts of what it depends on (src -> dst)."""
     facts = seeds.select(*keys, "node", "level", "ref")
-    return spread(facts, edges, keys, subsumed=_below_dep)
+    # A node at the top level takes no further facts.
+    covered = (F.col("old.level") == DEP) | same(["level", "ref"])
+    return spread(facts, edges, keys, by=keys + ["node"], covered=covered)
 
 
 def node_labels(nodes: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,8 +96,8 @@ def scc(edges: DataFrame, keys: list[str]) -> DataFrame:
             ),
             "scc_pair",
         )
-        same = pair.where("fw = bw").select(*keys, "node", F.col("fw.id").alias("root"))
-        found = same if found is None else found.union(same)
+        met = pair.where("fw = bw").select(*keys, "node", F.col("fw.id").alias("root"))
+        found = met if found is None else found.union(met)
         rest = pair.where("fw <> bw")
         side = lambda end: rest.select(
             *keys, F.col("node").alias(end), F.col("fw").alias(f"{end}_fw"), F.col("bw").alias(f"{end}_bw")
