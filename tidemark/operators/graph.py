@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, csv
+from tidemark.operators import forest
 from tidemark.operators.fixpoint import chase, closure, pace, relax, same, skip_links
 from tidemark.session import materialise
 
@@ -266,29 +267,8 @@ def post_dominators(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cut_vertices(edges: DataFrame, keys: list[str] = FN) -> DataFrame:
-    """Nodes whose removal disconnects the undirected graph of ``edges``.
-
-    Seen from a root, a node cuts others off exactly if it dominates one of them in the undirected
-    graph; the root itself is judged from a second root next to it.
-    """
-    e = edges.select(*keys, "src", "dst").where("src <> dst")
-    both = materialise(e.union(e.select(*keys, "dst", "src")).distinct(), "both_ways")
-    nodes = both.select(*keys, F.col("src").alias("node")).distinct()
-    # One root per connected part: its smallest node.
-    part = relax(
-        nodes.withColumn("part", F.col("node")), along(both, keys), keys + ["node"], "part", **pace(both, keys)
-    )
-    first = part.select(*keys, F.col("part").alias("node")).distinct().withColumn("_root", F.lit(0))
-    beside = (
-        both.join(first.select(*keys, F.col("node").alias("src")), keys + ["src"])
-        .groupBy(*keys, "src").agg(F.min("dst").alias("node"))
-        .select(*keys, "node", F.lit(1).alias("_root"))
-    )
-    tagged = both.withColumn("_root", F.explode(F.array(F.lit(0), F.lit(1))))
-    roots = materialise(first.union(beside), "roots")
-    dom = materialise(dominators(roots, tagged, keys + ["_root"]), "undirected_dom")
-    own = roots.select(*keys, "_root", F.col("node").alias("dom"))
-    return dom.join(own, keys + ["_root", "dom"], "left_anti").select(*keys, F.col("dom").alias("node")).distinct()
+    """Nodes whose removal disconnects the undirected graph of ``edges``; see ``forest.cut_vertices``."""
+    return forest.cut_vertices(edges, keys)
 
 
 def backward_roots(starts: DataFrame, operands: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
