@@ -101,8 +101,9 @@ class _Rounds:
 
     def new(self, found: DataFrame, covered: Column) -> DataFrame:
         """Rows of ``found`` that no known row with their hash ``covered``s; sides are ``new`` and ``old``."""
-        typed = found.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])  # hashes differ between types
-        left = self._keyed(typed).alias("new")
+        # Hashes of the same number differ between types.
+        types = {f.name: f.dataType for f in self.schema if f.dataType.simpleString() != found.schema[f.name].dataType.simpleString()}
+        left = self._keyed(found.withColumns({n: F.col(n).cast(t) for n, t in types.items()})).alias("new")
         known = [self.spark.table(t) for t, _ in self.settled]
         if self.recent:
             known.append(self._keyed(self._read(self.recent)))
