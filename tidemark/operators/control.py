@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP
-from tidemark.operators.fixpoint import closure, pace, relax
+from tidemark.operators.fixpoint import chase, closure, pace, relax
 from tidemark.operators.graph import FN
 from tidemark.session import materialise
 
@@ -30,42 +30,47 @@ def loop_node(col) -> F.Column:
     return F.concat(F.lit("l:"), F.col(col).cast("string"))
 
 
-def decided_blocks(blocks: DataFrame, edges: DataFrame, pdoms: DataFrame) -> DataFrame:
-    """Blocks that run in any case: they post-dominate all their predecessors and the entry."""
+def decided_blocks(blocks: DataFrame, edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Blocks that run in any case: they post-dominate all their predecessors and the entry.
+
+    ``tree``: see ``graph.post_dominator_tree``; one interval test per edge, no pairs of blocks.
+    """
     entry = blocks.where("is_entry").select(*FN, F.col("block").alias("entry"))
     asked = edges.select(*FN, F.col("dst").alias("block"), F.col("src").alias("before"))
     asked = asked.union(
         blocks.select(*BLOCK).join(entry, FN).where("block <> entry").select(*BLOCK, F.col("entry").alias("before"))
     )
-    over = pdoms.select(*FN, F.col("pdom").alias("block"), F.col("block").alias("before"))
-    failed = asked.join(over, BLOCK + ["before"], "left_anti").select(*BLOCK).distinct()
+    over = asked.join(tree.select(*BLOCK, "first", "last"), BLOCK, "left").join(
+        tree.select(*FN, F.col("block").alias("before"), F.col("first").alias("at")), FN + ["before"], "left"
+    )
+    failed = over.where("not coalesce(first < at and at <= last, false)").select(*BLOCK).distinct()
     return blocks.select(*BLOCK).join(failed, BLOCK, "left_anti")
 
 
-def control_edges(blocks: DataFrame, edges: DataFrame, terminators: DataFrame, pdoms: DataFrame) -> DataFrame:
+def control_edges(blocks: DataFrame, edges: DataFrame, terminators: DataFrame, tree: DataFrame) -> DataFrame:
     """G4 as edges: a conditional terminator decides the successors that do not run in any case.
 
     ``terminators``: (module, fn, block, inst, is_conditional). Blocks that cannot be reached have no
     terminator label and so add nothing.
     """
-    decided = decided_blocks(blocks, edges, pdoms).withColumnRenamed("block", "dst")
+    decided = decided_blocks(blocks, edges, tree).withColumnRenamed("block", "dst")
     open_edges = edges.join(decided, FN + ["dst"], "left_anti")
     branch = terminators.where("is_conditional").select(*FN, F.col("block").alias("src"), "inst")
     return open_edges.join(branch, FN + ["src"]).select(*FN, row_node("inst").alias("src"), block_node("dst").alias("dst"))
 
 
 def control_labels(
-    blocks: DataFrame, edges: DataFrame, terminators: DataFrame, pdoms: DataFrame, facts: DataFrame
+    blocks: DataFrame, edges: DataFrame, terminators: DataFrame, tree: DataFrame, facts: DataFrame
 ) -> DataFrame:
     """Facts of blocks from the given facts of rows (module, fn, inst, level, ref).
 
     A predecessor without a terminator counts as ARG on no particular argument.
     """
-    open_edges = control_edges(blocks, edges, terminators, pdoms)
+    open_edges = control_edges(blocks, edges, terminators, tree)
     at = facts.select(*FN, row_node("inst").alias("src"), "level", "ref")
     known = open_edges.join(at, FN + ["src"]).select(*FN, F.expr("substring(dst, 3)").cast("int").alias("block"), "level", "ref")
     bare = edges.join(terminators.select(*FN, F.col("block").alias("src")), FN + ["src"], "left_anti")
-    decided = decided_blocks(blocks, edges, pdoms)
+    decided = decided_blocks(blocks, edges, tree)
     lost = bare.select(*FN, F.col("dst").alias("block")).join(decided, BLOCK, "left_anti").distinct()
     return known.union(lost.select(*BLOCK, F.lit(ARG), F.lit(-1))).distinct()
 
@@ -111,18 +116,21 @@ def region_starts(blocks: DataFrame, terminators: DataFrame, dep_blocks: DataFra
     return blocks.select(*BLOCK).join(dep_blocks.select(*BLOCK).union(ends).distinct(), BLOCK, "left_semi")
 
 
-def region_stops(starts: DataFrame, blocks: DataFrame, dep_blocks: DataFrame, pdoms: DataFrame) -> DataFrame:
-    """Stop of the region of each start: the nearest post-dominator that is not dependent or is the last."""
+def region_stops(starts: DataFrame, blocks: DataFrame, dep_blocks: DataFrame, tree: DataFrame) -> DataFrame:
+    """Stop of the region of each start: the nearest post-dominator that is not dependent or is the last.
+
+    ``tree``: see ``graph.post_dominator_tree``. Dependent blocks point to their parents; following these by
+    pointer doubling ends at the nearest fit one, so tables hold one row per block.
+    """
     last = blocks.where("is_exit").select(*FN, F.col("block").alias("last"))
-    flag = dep_blocks.select(*FN, F.col("block").alias("pdom")).distinct().withColumn("_dep", F.lit(True))
-    fit = (
-        pdoms.join(starts.select(*BLOCK), BLOCK, "left_semi")
-        .join(last, FN)
-        .join(flag, FN + ["pdom"], "left")
-        .where("_dep is null or pdom = last")
-        .groupBy(*BLOCK)
-        .agg(F.max_by("pdom", "depth").alias("stop"))
-    )
+    dep = dep_blocks.select(*BLOCK).distinct().join(last.withColumnRenamed("last", "block"), BLOCK, "left_anti")
+    dep = materialise(dep, "unfit")
+    links = tree.where("parent is not null").join(dep, BLOCK, "left_semi")
+    ends = chase(links.select(*FN, F.col("block").alias("src"), F.col("parent").alias("dst")), FN)
+    ends = ends.select(*FN, F.col("src").alias("parent"), "end")
+    over = starts.select(*BLOCK).join(tree.select(*BLOCK, "parent"), BLOCK).join(ends, FN + ["parent"], "left")
+    fit = over.select(*FN, F.col("block").alias("start"), F.coalesce("end", "parent").alias("block"))
+    fit = fit.join(dep, BLOCK, "left_anti").select(*FN, F.col("start").alias("block"), F.col("block").alias("stop"))
     return (
         starts.select(*BLOCK).join(last, FN).join(fit, BLOCK, "left")
         .select(*FN, F.col("block").alias("start"), F.coalesce("stop", "last").alias("stop"))

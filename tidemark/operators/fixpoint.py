@@ -144,16 +144,21 @@ def skip_links(edges: DataFrame, keys: list[str]) -> DataFrame:
     edges are the only one into their node get no links; there plain rounds are cheaper. Each graph is judged by
     itself; one of fewer than ``LEAST_CHAIN`` such edges is crossed soon enough without.
     """
+    return weighted_links(edges, keys).drop("weight")
+
+
+def weighted_links(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``skip_links`` with ``weight``, the number of edges a link stands for."""
     edges = edges.select(*keys, "src", "dst")
     single = edges.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("src"))
     judged = single.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.count_if(F.col("_n") == 1).alias("_alone"))
     thin = materialise(judged.where(f"_alone >= 0.95 * _all and _alone >= {LEAST_CHAIN}").select(*keys, "_alone"), "thin")
     alone = thin.agg(F.max("_alone")).first()[0]
     if not alone:
-        return edges
+        return edges.withColumn("weight", F.lit(1))
     links = single.where("_n = 1 and src <> dst").join(thin.select(*keys), keys, "left_semi").select(*keys, "src", "dst")
     links = materialise(links, "links")
-    found, length = edges, 1
+    found, length = edges.withColumn("weight", F.lit(1)), 1
     # A closed ring never runs out of links; past all nodes it has been crossed.
     while length <= alone:
         far = links.select(*keys, "src", F.col("dst").alias("_mid"))
@@ -161,7 +166,8 @@ def skip_links(edges: DataFrame, keys: list[str]) -> DataFrame:
         links = materialise(far.join(near, keys + ["_mid"]).where("src <> dst").select(*keys, "src", "dst"), "links")
         if links.isEmpty():
             break
-        found, length = found.union(links), 2 * length
+        length *= 2
+        found = found.union(links.withColumn("weight", F.lit(length)))
     return found
 
 

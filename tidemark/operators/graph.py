@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ARG, DEP, INDEP, csv
-from tidemark.operators import forest
+from tidemark.operators import dominance, forest
 from tidemark.operators.fixpoint import chase, closure, pace, relax, same, skip_links
 from tidemark.session import materialise
 
@@ -218,52 +218,33 @@ def loops(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def dominators(roots: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Strict dominators: (keys, node, dom, depth), depth = position of ``dom`` on a path from the root.
+def dominators(root: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Strict dominators in pairs: (keys, node, dom, steps), steps = how far up the dominator tree; one root per graph."""
+    parents = dominance.immediate_dominators(root, edges, keys)
+    return dominance.ancestors(parents, keys).withColumnRenamed("above", "dom")
 
-    Every dominator of a node lies on each path from the root, so the shortest path found by one
-    search holds all candidates. A candidate falls when some predecessor can be reached without it;
-    falls spread along edges to the greatest fixpoint. Rows are candidates, never all pairs of a
-    function: path length times nodes.
-    """
-    edges = materialise(edges.select(*keys, "src", "dst").where("src <> dst").distinct(), "dom_edges")
-    move, speed = along(edges, keys), pace(edges, keys)
-    # Path to the node, the node excluded; fewest steps win.
-    nothing = F.array().cast(f"array<{roots.schema['node'].dataType.simpleString()}>")
-    seed = roots.select(*keys, "node", F.struct(F.lit(0).alias("n"), nothing.alias("nodes")).alias("path"))
-    step = lambda delta: move(
-        delta.withColumn(
-            "path",
-            F.struct((F.col("path.n") + 1).alias("n"), F.array_append(F.col("path.nodes"), F.col("node")).alias("nodes")),
-        )
-    )
-    paths = materialise(relax(seed, step, keys + ["node"], "path", **speed), "paths")
-    cand = materialise(
-        paths.select(*keys, "node", F.posexplode("path.nodes").alias("depth", "dom")), "candidates"
-    )
-    # An edge counts only from a reached source.
-    live = edges.join(paths.select(*keys, F.col("node").alias("src")), keys + ["src"], "left_semi")
-    asked = cand.select(*keys, F.col("node").alias("dst"), "dom").join(live, keys + ["dst"]).where("src <> dom")
-    have = cand.select(*keys, F.col("node").alias("src"), "dom")
-    fallen = asked.join(have, keys + ["src", "dom"], "left_anti").select(*keys, F.col("dst").alias("node"), "dom")
-    wanted = cand.select(*keys, "node", "dom")
-    fall = lambda delta: move(delta).where("node <> dom").join(wanted, keys + ["node", "dom"], "left_semi")
-    gone = closure(fallen, fall, **speed)
-    return cand.join(gone, keys + ["node", "dom"], "left_anti").select(*keys, "node", "dom", "depth")
 
+def _from_exits(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, edges) of the reversed graph; several exits join in a virtual one, -1."""
+    virtual = F.lit(-1).cast(edges.schema["src"].dataType)
+    exits = blocks.where("is_exit").select(*FN, virtual.alias("src"), F.col("block").alias("dst"))
+    back = edges.select(*FN, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return exits.select(*FN, F.col("src").alias("node")).distinct(), back.union(exits)
 
-def post_dominators(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Strict post-dominators (module, fn, block, pdom, depth); several exits join in a virtual one.
 
-    The post-dominator with the greatest depth is the nearest.
+def post_dominator_tree(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """G3 as a tree: (module, fn, block, parent, first, last), ``parent`` the nearest strict post-dominator or NULL.
+
+    One row per block that reaches an exit. ``x`` post-dominates ``y`` exactly if ``x.first < y.first <= x.last``.
     """
-    typ = edges.schema["src"].dataType
-    back = edges.select(*FN, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    virtual = F.lit(-1).cast(typ)
-    exits = blocks.where("is_exit").select(*FN, virtual.alias("src"), F.col("block").alias("dst"))
-    roots = exits.select(*FN, F.col("src").alias("node")).distinct()
-    dom = dominators(roots, back.union(exits), FN)
-    return dom.where("dom <> -1").select(*FN, F.col("node").alias("block"), F.col("dom").alias("pdom"), "depth")
+    tree = dominance.dominator_tree(*_from_exits(blocks, edges), FN).where("node <> -1")
+    return tree.select(*FN, F.col("node").alias("block"), F.when(F.col("parent") != -1, F.col("parent")).alias("parent"), "first", "last")
+
+
+def post_dominators(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Strict post-dominators in pairs (module, fn, block, pdom, steps); the nearest is one step away."""
+    dom = dominators(*_from_exits(blocks, edges), FN).where("dom <> -1")
+    return dom.select(*FN, F.col("node").alias("block"), F.col("dom").alias("pdom"), "steps")
 
 
 def cut_vertices(edges: DataFrame, keys: list[str] = FN) -> DataFrame:

@@ -86,16 +86,16 @@ def g4(spark, sf):
     s = Sessions(spark, sf)
     terms = s.instructions.where("is_terminator")
     facts = s.seeds.withColumnRenamed("node", "inst")
-    pdoms = materialise(graph.post_dominators(s.blocks, s.block_edges), "pdoms")
-    return K.control_labels(s.blocks, s.block_edges, terms, pdoms, facts)
+    tree = materialise(graph.post_dominator_tree(s.blocks, s.block_edges), "pdom_tree")
+    return K.control_labels(s.blocks, s.block_edges, terms, tree, facts)
 
 
-def dependence_edges(s: Sessions, pdoms, phis=None, loops=None):
+def dependence_edges(s: Sessions, tree, phis=None, loops=None):
     """Union of data, control, block, join and loop edges of a session, and extra seeds."""
     rows = materialise(s.instructions, "rows")
     terms = rows.where("is_terminator")
     edges = K.data_edges(s.operands).union(K.block_effects(rows))
-    edges = edges.union(K.control_edges(s.blocks, s.block_edges, terms, pdoms))
+    edges = edges.union(K.control_edges(s.blocks, s.block_edges, terms, tree))
     seeds = s.seeds.withColumn("node", K.row_node("node"))
     if phis is not None:
         joins, extra = K.merge_at_joins(phis, s.block_edges, terms.select(*BLOCK, "inst"))
@@ -121,8 +121,8 @@ def _rows_of(s, edges, seeds):
 @query("g5_block_effects", EVENTS + PDOM_SQL + DECIDED_SQL + _FLOW_BASE_SQL.format(more="", seeds="") + _LABELS_SQL)
 def g5(spark, sf):
     s = Sessions(spark, sf)
-    pdoms = materialise(graph.post_dominators(s.blocks, s.block_edges), "pdoms")
-    return _rows_of(s, *dependence_edges(s, pdoms))
+    tree = materialise(graph.post_dominator_tree(s.blocks, s.block_edges), "pdom_tree")
+    return _rows_of(s, *dependence_edges(s, tree))
 
 
 _PHI_SQL = """ UNION ALL SELECT x.src, p.inst FROM (SELECT g.fn, g.dst, -1 - (g.fn * 1000 + g.src) AS src FROM edge g
@@ -138,9 +138,9 @@ _PHI_SEEDS = """UNION SELECT inst, 4, -1 FROM ev p WHERE idx = 0 AND opcode = 'v
 )
 def g6(spark, sf):
     s = Sessions(spark, sf)
-    pdoms = materialise(graph.post_dominators(s.blocks, s.block_edges), "pdoms")
+    tree = materialise(graph.post_dominator_tree(s.blocks, s.block_edges), "pdom_tree")
     phis = s.instructions.where("idx = 0 and opcode = 'view'").select(*BLOCK, "inst")
-    return _rows_of(s, *dependence_edges(s, pdoms, phis=phis))
+    return _rows_of(s, *dependence_edges(s, tree, phis=phis))
 
 
 LOOP_SQL = """, bre(module, fn, a, b) AS (SELECT module, fn, src, dst FROM edge
@@ -175,9 +175,9 @@ _TAINT_SQL = """ UNION ALL SELECT t.inst, -1000000000000 - (l.fn * 1000 + l.loop
 )
 def g10(spark, sf):
     s = Sessions(spark, sf)
-    pdoms = materialise(graph.post_dominators(s.blocks, s.block_edges), "pdoms")
+    tree = materialise(graph.post_dominator_tree(s.blocks, s.block_edges), "pdom_tree")
     loops = materialise(graph.loops(s.blocks, s.block_edges), "loops")
-    return _rows_of(s, *dependence_edges(s, pdoms, loops=loops))
+    return _rows_of(s, *dependence_edges(s, tree, loops=loops))
 
 
 @query(
@@ -234,8 +234,8 @@ def session_starts(s: Sessions):
 
 def session_regions(s: Sessions):
     starts, hot, rows = session_starts(s)
-    pdoms = materialise(graph.post_dominators(s.blocks, s.block_edges), "pdoms")
-    stops = K.region_stops(starts, s.blocks, hot, pdoms)
+    tree = materialise(graph.post_dominator_tree(s.blocks, s.block_edges), "pdom_tree")
+    stops = K.region_stops(starts, s.blocks, hot, tree)
     return materialise(K.region_between(stops, s.block_edges), "regions"), rows
 
 
