@@ -46,7 +46,7 @@ def strict(es):
     return {(v, x) for x in alive for v in alive - reach(es, 0, x) - {x}}
 
 
-@pytest.fixture(scope="module", params=[dominance.WIDTH, 2])
+@pytest.fixture(scope="module", params=[dominance.WIDTH, 3])
 def width(request):
     """Production bands, and bands so narrow that small graphs have several levels."""
     before, dominance.WIDTH = dominance.WIDTH, request.param
@@ -121,9 +121,9 @@ def test_no_edges_null_ends_and_lone_roots(spark):
 
 
 def test_rows_and_rounds_on_a_long_chain(spark, monkeypatch):
-    """1,000 blocks in a row with a diamond at every tenth: tables are linear, rounds few."""
-    es = [(1, i, i + 1) for i in range(1000)] + [(1, i, 2000 + i) for i in range(0, 1000, 10)]
-    es += [(1, 2000 + i, i + 1) for i in range(0, 1000, 10)]
+    """1,000 blocks in a row with a diamond at every hundredth: tables are linear, rounds few."""
+    es = [(1, i, i + 1) for i in range(1000)] + [(1, i, 2000 + i) for i in range(0, 1000, 100)]
+    es += [(1, 2000 + i, i + 1) for i in range(0, 1000, 100)]
     written = []
     write = dominance.materialise
 
@@ -137,7 +137,7 @@ def test_rows_and_rounds_on_a_long_chain(spark, monkeypatch):
     root = spark.createDataFrame([(1, 0)], "g int, node int")
     rows = dominance.immediate_dominators(root, spark.createDataFrame(es, "g int, src int, dst int"), KEYS).collect()
     assert {r.node: r.parent for r in rows} == {
-        0: None, **{i + 1: i for i in range(1000)}, **{2000 + i: i for i in range(0, 1000, 10)}
+        0: None, **{i + 1: i for i in range(1000)}, **{2000 + i: i for i in range(0, 1000, 100)}
     }
     assert max(n for _, n in written) <= 3 * len(es)
     assert sum(name == "dom_moved" for name, _ in written) <= 2

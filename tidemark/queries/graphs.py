@@ -62,7 +62,7 @@ PDOM_SQL = """, ex AS (SELECT module, fn, block AS exit_ FROM blk WHERE is_exit)
 @query("g3_post_dominators", EVENTS + PDOM_SQL + "SELECT module, fn, block, pdom FROM pdom")
 def g3(spark, sf):
     s = Sessions(spark, sf)
-    return graph.post_dominators(s.blocks, s.block_edges).drop("depth")
+    return graph.post_dominators(s.blocks, s.block_edges).drop("steps")
 
 
 DECIDED_SQL = """, asked AS (SELECT module, fn, dst AS block, src AS before FROM edge
