@@ -48,10 +48,25 @@ def test_spread_and_labels(spark):
     compare(spark, lambda: graph.node_labels(nodes, graph.propagate(seeds, edges, G), G))
 
 
-def test_dominators_and_cuts(spark):
-    edges, roots, _ = graphs(spark)
-    compare(spark, lambda: dominance.immediate_dominators(roots, edges, G))
-    compare(spark, lambda: graph.cut_vertices(edges, G))
+def test_dominators_and_cuts():
+    """Against taking each node out."""
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))]
+        edges = [e for e in dict.fromkeys(edges) if e[0] != e[1]]
+
+        def reach(start, without, both=False):
+            kept = [e for e in edges if without not in e]
+            return small.walk([start], small._next(kept + [(b, a) for a, b in kept] if both else kept))
+
+        above = dict(small.immediate_dominators([(0,)], edges))
+        assert set(above) == reach(0, None)
+        strict = {(x, y) for x, y, _ in small.ancestors(list(above.items()))}
+        assert strict == {(y, x) for x in above for y in above if x != y and (x == 0 or y not in reach(0, x))}
+        nodes = {x for e in edges for x in e}
+        parts = lambda x: len({frozenset(reach(y, x, True)) for y in reach(x, None, True) - {x}})
+        assert {x for x, in small.cuts(edges)} == {x for x in nodes if parts(x) > 1}
 
 
 def test_regions(spark):
