@@ -8,6 +8,8 @@ import pytest
 
 from tidemark.functions.labels import ARG, DEP
 from tidemark.operators import fixpoint, graph, small
+from tidemark.operators import interproc as I
+from tidemark.operators.calls import Resolved
 
 G = ["g"]
 #: Packed, each in its own group, in rounds.
@@ -70,3 +72,29 @@ def test_levels_of_a_large_graph_in_few_tables(spark, monkeypatch, n):
     found = {r.node: r.level for r in graph.levels(df, G).collect()}
     assert len(found) == n + 1 and found[n] == 0 and found[0] == found[1] > found[3]
     assert len(written) <= 4
+
+
+def calls(spark):
+    """Random calls between functions of two modules, some through groups of several targets."""
+    rng, call, target = random.Random(6), [], []
+    for m in range(2):
+        for g in range(3):
+            target += [(m, f"type:{g}", f) for f in rng.sample(range(8), 3)]
+        target += [(m, f"fn:{f}", f) for f in range(8)]
+        call += [(m, rng.randrange(8), 100 * m + i, "direct", rng.choice([f"fn:{rng.randrange(8)}", f"type:{rng.randrange(3)}"])) for i in range(16)]
+    calls_ = spark.createDataFrame(call, "module int, fn long, inst long, how string, grp string")
+    targets = spark.createDataFrame(target, "module int, grp string, target long")
+    resolved = Resolved(calls_, targets, calls_.where("inst = 3").select("module", "fn", "inst"))
+    args = [(m, fn, i, a, *rng.choice([(4, -1), (3, 0), (3, 1), (1, -1)])) for m, fn, i, _, _ in call for a in (0, 1)]
+    actuals = spark.createDataFrame(args, "module int, fn long, inst long, arg_no int, level int, ref int")
+    own = [(m, f, "return", *rng.choice([(4, -1), (3, 0), (3, 1)])) for m in range(2) for f in range(0, 8, 2)]
+    own = spark.createDataFrame(own, "module int, fn long, out string, level int, ref int")
+    flows = spark.createDataFrame([(m, i, "return", fn, "return") for m, fn, i, _, _ in call if i % 3], "module int, inst long, call_out string, fn long, out string")
+    handed = spark.createDataFrame([(m, i, "return", 100 * m + (i + 5) % 16, i % 2) for m, _, i, _, _ in call], "module int, inst long, call_out string, to_inst long, arg_no int")
+    fixed = spark.createDataFrame([(0, 2, "return", 4, -1), (1, 105, "return", 3, 1)], "module int, inst long, out string, level int, ref int")
+    return resolved, actuals, own, flows, handed, fixed
+
+
+def test_summaries(spark):
+    resolved, actuals, own, flows, _, fixed = calls(spark)
+    compare(spark, lambda: I.function_summaries(own, resolved, actuals, flows, fixed))
