@@ -98,3 +98,8 @@ def calls(spark):
 def test_summaries(spark):
     resolved, actuals, own, flows, _, fixed = calls(spark)
     compare(spark, lambda: I.function_summaries(own, resolved, actuals, flows, fixed))
+
+
+def test_results_handed_on(spark):
+    resolved, actuals, own, flows, handed, fixed = calls(spark)
+    compare(spark, lambda: I.solve_calls(own, resolved, actuals, flows, fixed, handed))
