@@ -103,3 +103,9 @@ def test_summaries(spark):
 def test_results_handed_on(spark):
     resolved, actuals, own, flows, handed, fixed = calls(spark)
     compare(spark, lambda: I.solve_calls(own, resolved, actuals, flows, fixed, handed))
+
+
+def test_arguments(spark):
+    resolved, actuals, *_ = calls(spark)
+    functions = spark.createDataFrame([(m, f, 1 + f % 2) for m in range(2) for f in range(8)], "module int, fn long, n_args int")
+    compare(spark, lambda: I.finalise_arguments(functions, resolved, actuals))
