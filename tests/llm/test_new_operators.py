@@ -288,3 +288,17 @@ def test_op11_edges(spark):
     df = docs(spark, edges() + corpus())
     assert rows_of(pii.scan(clashing(df))) == rows_of(pii.scan(df)) and pii.scan(df).count() == len(edges()) + len(corpus())
     assert pii.scan(df.limit(0)).collect() == []
+
+
+def test_op11_counts_all_candidates(spark):
+    """Rows above ``sample`` count as well: the same table twice gives the same trees, in place or summed by Spark."""
+    found = pii.slim(docs(spark, personal()), "doc_id", "text").mapInArrow(pii._scan, pii._SCHEMA).localCheckpoint()
+    sizes = {(r.kind, r.label): r["count"] for r in found.selectExpr("inline(seen)").groupBy("kind", "label").count().collect()}
+    kinds = [k for k in range(len(pii.MORE)) if all(sizes.get((k, y), 99) > 40 for y in range(3))]
+    once, twice = pii.learn(found, sample=40), pii.learn(found.union(found), sample=40)
+    spread = pii.learn(found, sample=40, whole=0)
+    assert set(kinds) & set(once) and once.keys() == twice.keys() == spread.keys()
+    for k in once:
+        for other, low in [twice[k]] * (k in kinds) + [spread[k]]:
+            assert (once[k][0].feature == other.feature).all() and (once[k][0].cut == other.cut).all()
+            assert np.allclose(once[k][0].leaf, other.leaf) and abs(once[k][1] - low) <= 2 * pii.STEP
