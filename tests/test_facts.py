@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from tidemark.operators import interproc as I
 from tidemark.operators import report
 from tidemark.operators import specialise as P
@@ -24,6 +26,39 @@ def test_an_actual_on_two_arguments(spark):
     assert t.select(P.mask_under(t.tpl).alias("m")).first().m == "110"
 
 
+def test_actuals_are_numbers_where_they_fit(spark):
+    """Few small arguments take one aggregation by call without collected sets; many or large ones give the same templates."""
+    calls = spark.createDataFrame([(0, 1, 10, 2), (0, 1, 11, 2)], "module int, fn long, inst long, callee long")
+    functions = spark.createDataFrame([(0, 2, 3, True)], "module int, fn long, n_args int, is_vararg boolean")
+    few = [(0, 10, 0, 3, 2), (0, 10, 0, 3, 0), (0, 10, 2, 4, -1), (0, 10, 3, 1, -1)]
+    want = {10: [[0, 2], [], [P.ONE], []], 11: [[], [], []]}
+    for more in ([], [(0, 12, 70, 1, -1)], [(0, 12, 0, 3, 63)]):  # neither is a call of these
+        t = P.call_templates(calls, spark.createDataFrame(few + more, ACTUALS), functions)
+        assert {r.inst: r.tpl for r in t.collect()} == want
+        assert ("ObjectHashAggregate" in t._jdf.queryExecution().executedPlan().toString()) == bool(more)
+    facts = P.fold_facts(spark.createDataFrame([(0, 1, 0, 3, 62), (0, 1, 0, 3, 5), (0, 1, 0, 1, -1)], ACTUALS), ["inst"])
+    assert [(r.level, r.refs) for r in facts.collect()] == [(3, [5, 62])]
+    with pytest.raises(Exception, match="final label"):
+        P.call_templates(calls, spark.createDataFrame([(0, 10, 0, 0, -1)], ACTUALS), functions).collect()
+
+
+def test_variants_of_calls_that_pass_nothing_on_take_no_rounds(spark, monkeypatch):
+    from tidemark.operators import fixpoint
+
+    rounds = []
+    add = fixpoint._Rounds.add
+    monkeypatch.setattr(fixpoint._Rounds, "add", lambda self, df: (rounds.append(1), add(self, df))[1])
+    # A ring of alternating masks, two skipped functions behind it, and one argument passed on by the second.
+    chain = [(1, i, f"{i}", i + 1, [[P.ONE], []] if i % 2 else [[], [P.ONE]]) for i in range(8)]
+    tail = [(1, 8, "8", 9, [[], []]), (1, 9, "9", 10, [[0], [P.ONE]]), (1, 20, "20", 21, [[], []])]
+    tpl = spark.createDataFrame(chain + tail, "module int, fn long, inst string, callee long, tpl array<array<int>>")
+    none = spark.createDataFrame([], "module int, inst string")
+    skip = spark.createDataFrame([(1, 9), (1, 20)], "module int, fn long")
+    got = {r.name for r in P.variants(tpl, none, skip).collect()}
+    assert got == {f"{i + 1}{'10' if i % 2 else '01'}" for i in range(8)} | {"900", "1001"}
+    assert len(rounds) == 3  # the calls themselves, what 9 calls, nothing more
+
+
 def test_a_row_of_several_facts_counts_once(spark):
     rows = spark.createDataFrame(
         [(0, 2, 7, 3, 0), (0, 2, 7, 3, 1), (0, 2, 8, 1, -1), (0, 2, 9, 3, 1), (0, 2, 9, 4, -1)],
