@@ -8,7 +8,7 @@ from tidemark.functions import labels as L
 from tidemark.operators import coverage, report, runs
 from tidemark.queries.prelude import EVENTS, PARTS
 from tidemark.queries.registry import query
-from tidemark.session import new_table_path
+from tidemark.session import materialise, new_table_path
 from tidemark.sources import facts, label_store, models
 from tidemark.sources.bindings import BLOCK, FN, Parts, Sessions, table
 
@@ -58,11 +58,11 @@ _ALL_FACTS_SQL = """, n AS (
 @query("s1_all_facts", PARTS + _ALL_FACTS_SQL)
 def s1_all(spark, sf):
     """All twelve tables written and read back; rows of each by module."""
-    s, p, path = Sessions(spark, sf), Parts(spark, sf), new_table_path(spark, "facts")
+    s, p, path = Sessions(spark, sf, keep=True), Parts(spark, sf), new_table_path(spark, "facts")
     flags = {"is_intrinsic": F.lit(False), "returns_void": F.lit(False), "no_return": F.lit(False)}
     fns = p.functions.withColumns({k: v for k, v in flags.items() if k not in p.functions.columns})
     args = fns.select(*FN, F.explode(F.expr("sequence(0, n_args - 1)")).alias("arg_no")).withColumn("is_pointer", F.col("arg_no") == 0)
-    edges = s.block_edges
+    edges = materialise(s.block_edges, "block_edges")
     pairs = edges.select(*FN, F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.lit("MAY").alias("kind"))
     names = p.functions.where("is_declaration").select("module", "name").distinct()  # models belong to modules that declare the function
     tables = {
