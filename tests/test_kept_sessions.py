@@ -8,6 +8,7 @@ import pytest
 
 from tidemark.sources import facts
 from tidemark.sources.bindings import Sessions
+from tidemark.sources.traces import Traces
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,14 @@ def test_kept_tables_are_the_same_and_parse_nothing_again(both, name):
     assert "get_json_object" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_traces_have_their_modules_in_all_tables(spark, sf_dir, keep):
+    t = Traces(spark, sf_dir, keep)
+    for name in ("events", "instructions", "operands", "blocks", "block_edges"):
+        rows = getattr(t, name)
+        assert rows.where("module = fn % 2").count() == rows.count() > 0
+
+
 def test_tables_are_written_beside_each_other_and_errors_are_raised(spark, tmp_path):
     seen = set()
 
