@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from tidemark.functions.labels import ARG, DEP, VALUE
+from tidemark.operators import interproc
+from tidemark.operators.calls import Resolved
 from tidemark.operators.control import region_inputs
 from tidemark.operators.fixpoint import RECENT_CONF, closure
 from tidemark.operators.graph import along
@@ -56,3 +59,31 @@ def test_settled_rounds_are_not_broadcast(spark, limit):
         assert "Union" in _plan(found)
     finally:
         spark.conf.unset(RECENT_CONF)
+
+
+def test_actuals_meet_calls_once(spark, monkeypatch):
+    written = {}
+
+    def watched(df, name="table", path=None):
+        written[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialise(df, name, path)
+
+    monkeypatch.setattr(interproc, "materialise", watched)
+    functions = spark.createDataFrame([(0, f, 2) for f in (1, 2, 3)], "module int, fn long, n_args int")
+    calls = spark.createDataFrame([(0, 1, "a", "fn:2"), (0, 2, "b", "fn:3")], "module int, fn long, inst string, grp string")
+    targets = spark.createDataFrame([(0, "fn:2", 2), (0, "fn:3", 3)], "module int, grp string, target long")
+    actuals = spark.createDataFrame([(0, "a", 0, DEP, -1), (0, "a", 1, VALUE, -1), (0, "b", 1, ARG, 0), (0, "b", 0, ARG, 1)], "module int, inst string, arg_no int, level int, ref int")
+    found = interproc.finalise_arguments(functions, Resolved(calls, targets, calls.limit(0)), actuals)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 0), (0, 1, 1), (0, 2, 0), (0, 3, 1)]
+    assert "inst#" in written["passed_args"] and "inst#" not in written["arg_steps"]
+
+
+def test_direct_groups_need_no_list_of_targets(spark):
+    calls = spark.createDataFrame([(0, 1, "a", "fn:2"), (0, 1, "b", "type:t"), (0, 2, "c", "fn:4")], "module int, fn long, inst string, grp string")
+    targets = spark.createDataFrame([(0, "fn:2", 2), (0, "fn:4", 4), (0, "type:t", 2), (0, "type:t", 3), (0, "type:u", 5)], "module int, grp string, target long")
+    resolved = Resolved(calls, targets, calls.limit(0))
+    plan = resolved.with_targets(calls.select("module", "grp"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert sorted(x.fn for x in interproc.called_functions(resolved).collect()) == [2, 3, 4]
+    functions = spark.createDataFrame([(0, f, f"n{f}", f > 2) for f in range(1, 6)], "module int, fn long, name string, is_declaration boolean")
+    assert sorted(map(tuple, resolved.external_calls(functions).collect())) == [(0, 1, "b", 3, "n3"), (0, 2, "c", 4, "n4")]
